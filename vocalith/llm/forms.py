@@ -144,3 +144,9 @@ JAVA_SPACES = "[" + "".join(f"\\x{{{c:x}}}" for c, v in PLAIN.items() if v == "
 def look_spaces(text: str) -> list[str]:
     """The parts between white space of any kind, without empty ones."""
     return [x for x in SPACES.split(text) if x]
+
+
+def table_form(token: str) -> str:
+    """One spelling for all tokens of a look: the script of its unmistakable letters, else Latin."""
+    key = look_key(token)
+    return unicodedata.normalize("NFC", to_script(key, _script(key)))

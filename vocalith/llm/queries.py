@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vocalith.llm.overlap import cross_split_pairs, overlap_report
 from vocalith.llm.sql import SQL  # noqa: F401
 from vocalith.llm.unify import same_look_pairs, unify_texts
 from vocalith.session import table
@@ -15,4 +16,12 @@ def p5_texts(spark, sf_dir):
     return unify_texts(table(spark, sf_dir, "supervisions"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_texts": p5_texts}
+def p6_found(spark, sf_dir):
+    return cross_split_pairs(table(spark, sf_dir, "supervisions"))
+
+
+def p6_report(spark, sf_dir):
+    return overlap_report(table(spark, sf_dir, "supervisions"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p5_found": p5_found, "p5_texts": p5_texts}

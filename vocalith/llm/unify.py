@@ -102,7 +102,7 @@ def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     out: dict[str, str] = {}
     for t in pdf.loc[~pdf["plain"], "token"]:
         found = trie.match(t)
-        out[t] = found[0][2] if found else forms.plain_form(t)
+        out[t] = found[0][2] if found else forms.table_form(t)
     return pd.DataFrame({"token": list(out), "canon": list(out.values())})
 
 
