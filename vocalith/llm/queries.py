@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from vocalith.llm.overlap import cross_split_pairs, overlap_report
+from vocalith.llm.runs import collapse_runs
+from vocalith.llm.splits import grouped_split, utterance_groups
 from vocalith.llm.sql import SQL  # noqa: F401
+from vocalith.llm.terms import marked_terms
+from vocalith.llm.turns import speaker_turns
 from vocalith.llm.unify import same_look_pairs, unify_texts
+from pyspark.sql import functions as F
+
 from vocalith.session import table
 
 
@@ -24,4 +30,44 @@ def p6_report(spark, sf_dir):
     return overlap_report(table(spark, sf_dir, "supervisions"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p5_found": p5_found, "p5_texts": p5_texts}
+def p1_found(spark, sf_dir):
+    return speaker_turns(table(spark, sf_dir, "supervisions")).select("id", "turn_no", "speaker_no")
+
+
+def p1_turns(spark, sf_dir):
+    return speaker_turns(table(spark, sf_dir, "supervisions"))
+
+
+def p2_found(spark, sf_dir):
+    return marked_terms(table(spark, sf_dir, "supervisions")).where("mark is not null").select("term", "mark")
+
+
+def p2_terms(spark, sf_dir):
+    return marked_terms(table(spark, sf_dir, "supervisions"))
+
+
+def p3_found(spark, sf_dir):
+    return utterance_groups(table(spark, sf_dir, "utt2spk"))
+
+
+def p3_splits(spark, sf_dir):
+    labels = table(spark, sf_dir, "supervisions").select(F.col("id").alias("utt_id"), F.col("corpus").alias("label"))
+    return grouped_split(utterance_groups(table(spark, sf_dir, "utt2spk")), labels)
+
+
+def _runs(spark, sf_dir):
+    return collapse_runs(table(spark, sf_dir, "token_spans"), table(spark, sf_dir, "symbols"))
+
+
+def p7_found(spark, sf_dir):
+    return _runs(spark, sf_dir).where("n_spans >= 2").select("utt_id", "start_frame", "end_frame", "n_spans")
+
+
+def p7_events(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events)
+}
