@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vocalith.llm.encode import encode_texts
+from vocalith.llm.mixing import mix_sources
 from vocalith.llm.overlap import cross_split_pairs, overlap_report
 from vocalith.llm.runs import collapse_runs
 from vocalith.llm.splits import grouped_split, utterance_groups
@@ -67,7 +69,23 @@ def p7_events(spark, sf_dir):
     return _runs(spark, sf_dir)
 
 
+def p8_ids(spark, sf_dir):
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def _mix(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark, sf_dir):
+    return _mix(spark, sf_dir)[0]
+
+
+def p9_shares(spark, sf_dir):
+    return _mix(spark, sf_dir)[1]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events)
+    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares)
 }

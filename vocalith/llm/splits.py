@@ -108,6 +108,7 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
     """
     splits = splits or SPLITS
     names, share = list(splits), np.array(list(splits.values()), dtype=float) / sum(splits.values())
+    members = materialize(members)
     lab = labels.groupBy("utt_id").agg(F.min("label").alias("label"))
     lv = members.join(lab, "utt_id", "left").groupBy("group_utt", F.coalesce("label", F.lit("")).alias("label")).agg(F.count("*").alias("n"))
     lv = lv.groupBy("group_utt").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("v"), F.sum("n").alias("n"))
