@@ -5,6 +5,7 @@ from __future__ import annotations
 from vocalith.llm.encode import encode_texts
 from vocalith.llm.mixing import mix_sources
 from vocalith.llm.overlap import cross_split_pairs, overlap_report
+from vocalith.llm.pii import find_personal, mask_personal
 from vocalith.llm.runs import collapse_runs
 from vocalith.llm.splits import grouped_split, utterance_groups
 from vocalith.llm.sql import SQL  # noqa: F401
@@ -85,7 +86,15 @@ def p9_shares(spark, sf_dir):
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark, sf_dir):
+    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")).select("doc_id", "kind", "start_char")
+
+
+def p10_masked(spark, sf_dir):
+    return mask_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares)
+    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)
 }
