@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +52,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: list[tuple[object, str]] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    for fs, where in _WRITTEN:
+        try:
+            fs.delete(where, True)
+        except Exception:  # the session may be gone
+            return
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, which survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a table in the shared checkpoint folder, which survives the loss of executors.
+
+    Columnar files take a fraction of the space of ``checkpoint()``. Shuffles that only led here are released at once,
+    instead of whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    where = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    _WRITTEN.append((path.getFileSystem(spark._jsc.hadoopConfiguration()), path))
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(where)
