@@ -44,8 +44,9 @@ def prefix_beam(log_probs: np.ndarray, beam: int = 4, blank: int = 0) -> list[tu
                 if prefix and prefix[-1] == t:
                     c = nxt.setdefault(prefix, [-math.inf, -math.inf])
                     c[1] = log_add(c[1], pn + p)
-                    c = nxt.setdefault((*prefix, t), [-math.inf, -math.inf])
-                    c[1] = log_add(c[1], pb + p)
+                    if pb > -math.inf:  # the same label again needs a blank between
+                        c = nxt.setdefault((*prefix, t), [-math.inf, -math.inf])
+                        c[1] = log_add(c[1], pb + p)
                 else:
                     c = nxt.setdefault((*prefix, t), [-math.inf, -math.inf])
                     c[1] = log_add(c[1], log_add(pb, pn) + p)
