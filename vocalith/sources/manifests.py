@@ -38,7 +38,7 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, no, value): the lines of each file with their numbers; a file is the unit of order and read whole."""
-    t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.rtrim(F.lit("\n"), "value"), "\n").alias("l"))
+    t = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.rtrim("value", F.lit("\n")), "\n").alias("l"))
     return t.select("file", F.posexplode("l").alias("no", "value"))
 
 
