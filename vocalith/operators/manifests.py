@@ -129,7 +129,7 @@ def shard_by_duration(sup: DataFrame, key: str, most: float) -> DataFrame:
                 shard, now = shard + 1, 0.0
             now += d
             out.append(shard)
-        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "shard": out})
+        return pd.DataFrame({key: pdf[key].astype(object), "id": pdf["id"].astype(object), "shard": out})
 
     d = sup.where(F.col("duration").isNotNull() & F.col(key).isNotNull()).groupBy(key, "id").agg(F.max("duration").alias("duration"))
     return d.groupBy(key).applyInPandas(step, f"{key} string, id string, shard bigint")
@@ -213,7 +213,7 @@ def batches_by_length(df: DataFrame, bucket: Column, longest_total: float) -> Da
                 batch, size = batch + 1, 0
             size += 1
             out.append(batch)
-        return pd.DataFrame({"bucket": pdf["bucket"], "id": pdf["id"], "grp": pdf["grp"], "batch": out})
+        return pd.DataFrame({"bucket": pdf["bucket"], "id": pdf["id"].astype(object), "grp": pdf["grp"], "batch": out})
 
     d = df.where("duration > 0").groupBy("id").agg(F.max("duration").alias("duration")).withColumn("bucket", bucket.cast("bigint"))
     d = d.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(16)).cast("bigint"))

@@ -199,7 +199,7 @@ def phrase_boost(spark, d):
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "boost": [graph.score(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"].astype(object), "boost": [graph.score(t) for t in pdf["text"]]})
 
     return _lines(spark, d).select("id", F.lower("text").alias("text")).mapInPandas(run, "id string, boost double")
 
