@@ -77,7 +77,7 @@ def _documents(docs: DataFrame, sources: list[str], w: np.ndarray | None, tokeni
                 elif s is None and t and w is not None:
                     p = posteriors(w, t).astype(float)
                 post.append(p)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "size": [len(bpe.encode(t)) for t in pdf["text"]], "post": post})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"].astype(object), "size": [len(bpe.encode(t)) for t in pdf["text"]], "post": post})
 
     d = _pieces(docs.select("doc_id", "source", "text"))
     return d.mapInPandas(run, "doc_id bigint, source string, size bigint, post array<double>")
@@ -179,7 +179,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
             post = np.stack(pdf["post"].to_numpy()) if len(pdf) else np.zeros((0, k))
             r = _fold(post, so_far, cap)
             hard = pdf["source"].map(lambda x: at.get(x, -1)).to_numpy(dtype=np.int64)
-            yield pdf.assign(rate=np.where(hard >= 0, rate[hard], r))
+            yield pdf.assign(source=pdf["source"].astype(object), rate=np.where(hard >= 0, rate[hard], r))
 
     # Systematic rounding: in a group the sums of repeats follow the sums of rates, ordered by size. Groups are bounded.
     groups = F.lit(1)

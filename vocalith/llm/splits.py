@@ -131,7 +131,7 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
                 if lbl in col:
                     want[s, col[lbl]] += w
         got = place_groups(vec, want)
-        return pd.DataFrame({"group_utt": pdf["group_utt"], "split": [names[g] for g in got]})
+        return pd.DataFrame({"group_utt": pdf["group_utt"].astype(object), "split": [names[g] for g in got]})
 
     cols = "group_utt string, split string"
     heavy = lv.where(F.col("n") >= heavy_at).select("group_utt", "v", F.lit(0).alias("t"))
@@ -146,7 +146,7 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
     light = lv.where(F.col("n") < heavy_at).select("group_utt", "v", F.pmod(F.xxhash64("group_utt"), F.lit(tasks)).cast("int").alias("t"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return place(left, right) if len(left) else pd.DataFrame({"group_utt": [], "split": []})
+        return place(left, right) if len(left) else pd.DataFrame(columns=["group_utt", "split"])
 
     rest = light.groupBy("t").cogroup(need.groupBy("t")).applyInPandas(both, cols)
     return members.join(placed.unionByName(rest), "group_utt").select("utt_id", "group_utt", "split")

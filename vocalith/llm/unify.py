@@ -86,6 +86,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             c.update(forms.SPACES.split(t))
         c.pop("", None)
         toks = list(c)
+        if not toks:
+            continue
         yield pd.DataFrame({
             "token": toks,
             "n": [c[t] for t in toks],
@@ -103,7 +105,7 @@ def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     for t in pdf.loc[~pdf["plain"], "token"]:
         found = trie.match(t)
         out[t] = found[0][2] if found else forms.table_form(t)
-    return pd.DataFrame({"token": list(out), "canon": list(out.values())})
+    return pd.DataFrame({"token": list(out), "canon": list(out.values())}, dtype=object)
 
 
 def canonical_tokens(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -131,6 +133,8 @@ def _by_look():
 def _first_look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     plain: dict[str, bool] = {}
     for pdf in batches:
+        if not len(pdf):
+            continue
         if len(plain) > 500_000:
             plain.clear()
         keys, odd, texts = [], [], []
@@ -147,19 +151,21 @@ def _first_look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts.append(" ".join(toks))
             keys.append(None if var else _digest(texts[-1]) if toks else b"")
         yield pd.DataFrame({
-            "id": pdf["id"], "raw": [_digest(t) for t in pdf["text"]], "key": keys, "odd": odd,
+            "id": pdf["id"].astype(object), "raw": [_digest(t) for t in pdf["text"]], "key": keys, "odd": odd,
             "text": [t if o else None for t, o in zip(texts, odd, strict=True)],
         })
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if not len(pdf):
+            continue
         out = []
         for t, pairs in zip(pdf["text"], pdf["pairs"], strict=True):
             m = {p["token"]: p["canon"] for p in pairs}
             # A token may come out with white space inside or as nothing.
             out.append(" ".join(forms.look_spaces(" ".join(m.get(x, x) for x in t.split(" ")))))
-        yield pd.DataFrame({"id": pdf["id"], "raw": pdf["raw"], "text": out, "key": [_digest(t) if t else b"" for t in out]})
+        yield pd.DataFrame({"id": pdf["id"].astype(object), "raw": pdf["raw"], "text": out, "key": [_digest(t) if t else b"" for t in out]})
 
 
 def _with_keys(sup: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
