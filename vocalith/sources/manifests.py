@@ -133,7 +133,7 @@ def read_arpa(spark: SparkSession, path: str) -> DataFrame:
     """(n, history, word, f, bow) of an ARPA file; probabilities leave their base-10 logarithms."""
     x = numbered_lines(spark, path).withColumn("sec", F.regexp_extract("value", r"^\\(\d+)-grams:", 1))
     w = Window.partitionBy("file").orderBy("no")
-    x = x.withColumn("n", F.last(F.when(F.col("sec") != "", F.col("sec").cast("int")), ignorenulls=True).over(w))
+    x = x.withColumn("n", F.max(F.when(F.col("sec") != "", F.col("sec").try_cast("int"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     f = F.split("value", "\t")
     x = x.where("n is not null and sec = ''").where(F.size(f) > 1).select("n", F.get(f, 0).cast("double").alias("lp"), F.split(F.get(f, 1), " ").alias("g"), F.get(f, 2).try_cast("double").alias("lb"))
     hist = F.array_join(F.slice("g", F.lit(1), F.size("g") - 1), " ")
@@ -156,7 +156,7 @@ def arpa_lines(model: DataFrame) -> DataFrame:
 
 def write_arpa(model: DataFrame, path: str, mode: str = "error") -> None:
     """One file, since the format has one head; the lines stream through a single sorted partition."""
-    arpa_lines(model).orderBy("n", "k", "value").coalesce(1).select("value").write.mode(mode).text(path)
+    arpa_lines(model).repartition(1).sortWithinPartitions("n", "k", "value").select("value").write.mode(mode).text(path)
 
 
 def corpus_bleu(results: DataFrame, order: int = 4) -> DataFrame:
