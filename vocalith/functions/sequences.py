@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames that one task sorts of an utterance.
+SLICE = 20_000
+
 
 def joined(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
@@ -57,10 +60,24 @@ def reordered(starts: list[int], frames: list[int], factor: int) -> list[tuple[i
     return sorted(rows, key=lambda r: (-frames[r[0]], r[0]))
 
 
-def word_spans(t: DataFrame) -> DataFrame:
-    """(utt_id, word_no, first, last, word): pieces joined to words, a word beginning at each ``▁``; pieces before the first are left out."""
-    w = Window.partitionBy("utt_id").orderBy("start_frame", "end_frame", "token")
-    g = t.withColumn("word_no", F.sum(F.col("symbol").startswith("▁").cast("int")).over(w)).where("word_no > 0")
+def token_arrays(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """(utt_id, a): the tokens of each utterance by start, end and token, sorted in slices of frames and strung together."""
+    t = t.withColumn("_s", F.floor(F.col("start_frame") / slice_frames))
+    t = t.groupBy("utt_id", "_s").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "token"))).alias("x"))
+    t = t.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("_s", F.col("x.token").alias("a")))).alias("x"))
+    return t.select("utt_id", F.flatten("x.a").alias("a"))
+
+
+def word_spans(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """(utt_id, word_no, first, last, word): pieces joined to words, a word beginning at each ``▁``; pieces before the first are left out.
+
+    Words are numbered in slices of frames; each slice then adds the words that begin in the slices before it.
+    """
+    t = t.withColumns({"_b": F.col("symbol").startswith("▁").cast("int"), "_s": F.floor(F.col("start_frame") / slice_frames)})
+    w = Window.partitionBy("utt_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = t.groupBy("utt_id", "_s").agg(F.sum("_b").alias("n")).select(F.col("utt_id").alias("_u"), F.col("_s").alias("_t"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_n"))
+    g = t.withColumn("_w", F.sum("_b").over(Window.partitionBy("utt_id", "_s").orderBy("start_frame", "end_frame", "token")))
+    g = g.join(before, (F.col("utt_id") == F.col("_u")) & (F.col("_s") == F.col("_t"))).withColumn("word_no", F.col("_n") + F.col("_w")).where("word_no > 0")
     piece = F.struct("start_frame", "end_frame", "token", F.replace("symbol", F.lit("▁"), F.lit("")).alias("s"))
     g = g.groupBy("utt_id", "word_no").agg(F.min("start_frame").alias("first"), F.max("end_frame").alias("last"), F.array_sort(F.collect_list(piece)).alias("x"))
     return g.select("utt_id", "word_no", "first", "last", F.array_join("x.s", "").alias("word"))

@@ -96,9 +96,7 @@ _SEQ = "(select utt_id, list(token order by start_frame, end_frame, token) as a
 
 def _seqs(spark, d):
     t = table(spark, d, "token_spans").where("utt_id is not null and token is not null and start_frame is not null and end_frame is not null")
-    t = t.join(table(spark, d, "supervisions").select(F.col("id").alias("utt_id")), "utt_id", "left_semi").select("utt_id", "token", "start_frame", "end_frame").distinct()
-    t = t.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "token"))).alias("x"))
-    return t.select("utt_id", F.col("x.token").alias("a"))
+    return S.token_arrays(t.select("utt_id", "token", "start_frame", "end_frame").distinct())
 
 
 @query(f"select utt_id, array_to_string(list_concat([1], a, [1]), ' ') as tokens from {_SEQ}")
@@ -133,7 +131,6 @@ o as (select t.*, symbol, starts_with(symbol, '▁') as b from t join y on y.id
 g as (select *, sum(case when b then 1 else 0 end) over (partition by utt_id order by start_frame, end_frame, token rows unbounded preceding) as w from o)
 select utt_id, w as word_no, min(start_frame) as first, max(end_frame) as last, string_agg(replace(symbol, '▁', ''), '' order by start_frame, end_frame, token) as word from g where w > 0 group by utt_id, w""")
 def seq_word_spans(spark, d):
-    t = table(spark, d, "token_spans").where("token > 2 and start_frame is not null and end_frame > start_frame").select("utt_id", "token", "start_frame", "end_frame").distinct()
-    t = t.join(table(spark, d, "supervisions").select(F.col("id").alias("utt_id")), "utt_id", "left_semi")
+    t = table(spark, d, "token_spans").where("utt_id is not null and token > 2 and start_frame is not null and end_frame > start_frame").select("utt_id", "token", "start_frame", "end_frame").distinct()
     y = table(spark, d, "symbols").groupBy(F.col("id").alias("token")).agg(F.min("symbol").alias("symbol"))
     return S.word_spans(t.join(y, "token"))
