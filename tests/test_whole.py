@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from vocalith.functions import sequences as S
+from vocalith.operators import evaluation as E
 
 
 def rows(df):
@@ -48,3 +49,33 @@ def test_word_spans_without_supervision(spark, spans):
     assert got == want and max(no for u, no in want if u == "long") > 50
     df = spark.createDataFrame([(u, k, s, e, symbol[k]) for u, k, s, e in t if k > 2], "utt_id string, token int, start_frame int, end_frame int, symbol string")
     assert rows(S.word_spans(df, 700)) == rows(S.word_spans(df, 10**8))
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def random_text(r, n, letters="ath d"):
+    return "".join(r.choice(list(letters), n)) if n else ""
+
+
+def test_cer_of_long_texts(spark, tmp_path):
+    r = np.random.default_rng(5)
+    texts = [random_text(r, n) for n in (0, 20, 399, 400, 1500)]
+    spark.createDataFrame([(f"u{i}", t) for i, t in enumerate([*texts, None])], "id string, text string").write.parquet(f"{tmp_path}/supervisions.parquet")
+    got = __spark_entry__.queries()["cer_summary"](spark, str(tmp_path)).first()
+    n, e = sum(map(len, texts)), sum(brute_distance(t, t.replace("th", "d")) for t in texts)
+    assert (got.n_ref, got.errors) == (n, e) and got.cer == pytest.approx(100 * e / n)
+
+
+def test_distance():
+    r = np.random.default_rng(6)
+    for n, m in ((0, 0), (0, 3), (1, 1), (5, 9), (63, 64), (65, 64), (200, 130)):
+        for letters in ("ab", "abcdefgh ", "añ😀"):
+            a, b = random_text(r, n, letters), random_text(r, m, letters)
+            assert E.distance(a, b) == E.distance(b, a) == brute_distance(a, b)
