@@ -79,3 +79,15 @@ def test_distance():
         for letters in ("ab", "abcdefgh ", "añ😀"):
             a, b = random_text(r, n, letters), random_text(r, m, letters)
             assert E.distance(a, b) == E.distance(b, a) == brute_distance(a, b)
+
+
+def test_nbest_oracle_of_whole_texts(spark, tmp_path):
+    r = np.random.default_rng(7)
+    same = random_text(r, 80)  # two texts that part behind 80 characters
+    texts = [same + " ab", same + " dd tt", random_text(r, 300), None, random_text(r, 90), random_text(r, 150), random_text(r, 10), same, same]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for u in (0, 1):
+        mine = [t for t in texts[u * 5 : u * 5 + 5] if t is not None]
+        want.append((u, min(brute_distance(t, mine[0]) for t in mine if t != mine[0])))
+    assert rows(__spark_entry__.queries()["nbest_oracle"](spark, str(tmp_path))) == want

@@ -173,10 +173,10 @@ r as (select utt, arg_min(h, doc_id) as ref from h group by utt),
 e as (select utt, doc_id, levenshtein(h, ref) as e from h join r using (utt) where h <> ref)
 select utt, min(e) as errors from e group by utt""")
 def nbest_oracle(spark, d):
-    h = table(spark, d, "documents").where("text is not null").select(F.floor(F.col("doc_id") / 5).alias("utt"), "doc_id", F.regexp_replace(F.substring("text", 1, 60), "[^a-z ]", "").alias("h"))
+    h = table(spark, d, "documents").where("text is not null").select(F.floor(F.col("doc_id") / 5).alias("utt"), "doc_id", F.regexp_replace("text", "[^a-z ]", "").alias("h"))
     r = h.groupBy("utt").agg(F.min_by("h", "doc_id").alias("ref"))
-    e = h.join(r, "utt").where("h <> ref")
-    return e.groupBy("utt").agg(F.min(F.levenshtein("h", "ref")).cast("bigint").alias("errors"))
+    e = E.with_distance(h.join(r, "utt").where("h <> ref"), "utt", "h", "ref")
+    return e.groupBy("utt").agg(F.min("errors").alias("errors"))
 
 
 @query("""with f as (select vec_id // 20 as utt, vec_id, list_position(embedding, list_max(embedding)) - 1 as t from embeddings),
