@@ -1,5 +1,7 @@
 """Queries against whole results: nothing is left out by a join, a length or a limit."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -91,3 +93,15 @@ def test_nbest_oracle_of_whole_texts(spark, tmp_path):
         mine = [t for t in texts[u * 5 : u * 5 + 5] if t is not None]
         want.append((u, min(brute_distance(t, mine[0]) for t in mine if t != mine[0])))
     assert rows(__spark_entry__.queries()["nbest_oracle"](spark, str(tmp_path))) == want
+
+
+def test_whole_orders(spark, tmp_path):
+    r = np.random.default_rng(8)
+    sup = [(f"u{i}", "x" * int(r.integers(0, 40)), float(i), None, None, None) for i in range(700)]
+    spark.createDataFrame([*sup, *sup[:9], ("n", None, 1.0, None, None, None)], "id string, text string, duration double, corpus string, lang string, subset string").write.parquet(f"{tmp_path}/supervisions.parquet")
+    spark.range(300).select("id").withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    q = __spark_entry__.queries()
+    got = sorted(q["sort_by_length"](spark, str(tmp_path)).collect(), key=lambda x: x.position)
+    assert [tuple(x) for x in got] == [(u[0], u[2], i) for i, u in enumerate(sorted(sup, key=lambda u: (-len(u[1]), u[0])), 1)]
+    got = sorted(q["shuffle_head"](spark, str(tmp_path)).collect(), key=lambda x: x.position)
+    assert [tuple(x) for x in got] == [(k, i) for i, k in enumerate(sorted(range(300), key=lambda k: (hashlib.md5(f"{k}#3".encode()).hexdigest(), k)), 1)]

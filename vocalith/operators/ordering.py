@@ -60,8 +60,8 @@ def uniform(key: Column, seed: int = 0) -> Column:
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Rows in a random but reproducible order."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key)
+    """Rows with their ``position`` from 1 in a random but reproducible order."""
+    return number_rows(df.withColumn("_k", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))), "_k", key, name="position").drop("_k")
 
 
 def weighted_sample(df: DataFrame, k: int, key: str, weight: Column, seed: int = 0) -> DataFrame:

@@ -219,7 +219,8 @@ def rank_by_frequency(spark, d):
 
 @query(f"select id, duration from {_ONCE} where text is not null order by length(text) desc, id limit 300")
 def sort_by_length(spark, d):
-    return _once(spark, d).where("text is not null").orderBy(F.desc(F.length("text")), "id").limit(300).select("id", "duration")
+    s = _once(spark, d).where("text is not null").select("id", "duration", (-F.length("text")).alias("_n"))
+    return O.number_rows(s, "_n", "id", name="position").select("id", "duration", "position")
 
 
 @query("""with x as (select distinct on (recording_id, id) recording_id, id, start_sec, duration, cast(floor(cast(round(start_sec * 100) as bigint) / 4.0) as bigint) as start, cast(floor(cast(round(duration * 100) as bigint) / 4.0) as bigint) as frames

@@ -283,7 +283,7 @@ def split_chunks(spark, d):
 
 @query("select doc_id from documents order by md5(cast(doc_id as varchar) || '#3'), doc_id limit 50")
 def shuffle_head(spark, d):
-    return O.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 3).limit(50)
+    return O.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 3)
 
 
 _U = "(cast(('0x' || substr(md5(cast({k} as varchar) || '#{s}'), 1, 8)) as bigint) / 4294967296.0)"
