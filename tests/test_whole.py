@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from vocalith.functions import sequences as S
@@ -105,3 +106,32 @@ def test_whole_orders(spark, tmp_path):
     assert [tuple(x) for x in got] == [(u[0], u[2], i) for i, u in enumerate(sorted(sup, key=lambda u: (-len(u[1]), u[0])), 1)]
     got = sorted(q["shuffle_head"](spark, str(tmp_path)).collect(), key=lambda x: x.position)
     assert [tuple(x) for x in got] == [(k, i) for i, k in enumerate(sorted(range(300), key=lambda k: (hashlib.md5(f"{k}#3".encode()).hexdigest(), k)), 1)]
+
+
+def test_masks_of_whole_sequences(spark, spans, tmp_path):
+    d, t = spans
+    q = __spark_entry__.queries()
+    n = {u: len(tokens(t, u)) for u in ("long", "a", "b")}
+    assert max(n.values()) > 300 and min(n.values()) < 20
+    want = {u: "0" * k + "1" * (max(n.values()) - k) for u, k in n.items()}
+    assert {r.utt_id: r.mask for r in q["seq_pad_mask"](spark, d).collect()} == want  # three utterances are one batch
+    got: dict = {}
+    for r in q["seq_chunk_mask"](spark, d).collect():
+        for i in range(r.first, r.stop):
+            assert (r.utt_id, i) not in got
+            got[r.utt_id, i] = (r.seen_from, r.seen_to)
+    assert got == {(u, i): (0, min((i // 2 + 1) * 2, k)) for u, k in n.items() for i in range(k)}
+
+
+def test_pad_mask_batches(spark, tmp_path):
+    spark.createDataFrame([(f"u{k:03}", 1, i, i + 1) for k in range(1, 71) for i in range(k)], "utt_id string, token int, start_frame int, end_frame int").write.parquet(f"{tmp_path}/token_spans.parquet")
+    got = {r.utt_id: (r.batch, r.mask) for r in __spark_entry__.queries()["seq_pad_mask"](spark, str(tmp_path)).collect()}
+    wide = (32, 64, 70)
+    assert got == {f"u{k:03}": ((k - 1) // 32, "0" * k + "1" * (wide[(k - 1) // 32] - k)) for k in range(1, 71)}
+
+
+@pytest.mark.parametrize("left", [-1, 0, 1, 2])
+def test_chunk_ranges_as_mask(spark, left):
+    for size, chunk in ((1, 2), (4, 2), (7, 3), (6, 4)):
+        x = spark.range(1).select(S.chunk_ranges(F.lit(size), chunk, left).alias("r"), S.chunk_mask(size, chunk, left).alias("m")).first()
+        assert [[r.seen_from <= j < r.seen_to for j in range(size)] for r in x.r for _ in range(r.first, r.stop)] == x.m

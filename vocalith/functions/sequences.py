@@ -26,9 +26,9 @@ def drop_up_to(a: Column, v: int) -> Column:
     return F.filter(a, lambda x: x > v)
 
 
-def pad_mask(length: Column, longest: int, left: bool = False) -> Column:
+def pad_mask(length: Column, longest: Column | int, left: bool = False) -> Column:
     """True where a padded position is: behind the length, or before it with padding on the left."""
-    pos = F.sequence(F.lit(0), F.lit(longest - 1))
+    pos = F.sequence(F.lit(0), F.lit(longest) - 1)
     return F.transform(pos, (lambda i: i < F.lit(longest) - length) if left else (lambda i: i >= length))
 
 
@@ -44,6 +44,17 @@ def chunk_mask(size: int, chunk: int, left_chunks: int = -1) -> Column:
     return F.transform(pos, row)
 
 
+def chunk_ranges(size: Column, chunk: int, left_chunks: int = -1) -> Column:
+    """``chunk_mask`` of any size without its square: for each chunk of positions first .. stop - 1, that these see seen_from .. seen_to - 1."""
+
+    def one(i: Column) -> Column:
+        low = F.lit(0) if left_chunks < 0 else F.greatest(i - left_chunks * chunk, F.lit(0))
+        stop = F.least(i + chunk, size)
+        return F.struct(i.alias("first"), stop.alias("stop"), low.alias("seen_from"), stop.alias("seen_to"))
+
+    return F.transform(F.sequence(F.lit(0), size - 1, F.lit(chunk)), one)
+
+
 def frame_seconds(frame: Column, subsampling: int, shift_ms: int = 10) -> Column:
     return F.round(frame * subsampling * shift_ms / 1000.0, 3)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vocalith.functions import sequences as S
 from vocalith.functions import text as T
+from vocalith.operators.ordering import number_rows
 from vocalith.plans.registry import Registry
 from vocalith.session import table
 
@@ -94,9 +95,17 @@ def clock_to_seconds(spark, d):
 _SEQ = "(select utt_id, list(token order by start_frame, end_frame, token) as a from (select distinct utt_id, token, start_frame, end_frame from token_spans where utt_id is not null and token is not null and start_frame is not null and end_frame is not null) where utt_id in (select id from supervisions) group by utt_id)"
 
 
-def _seqs(spark, d):
+def _spans(spark, d):
     t = table(spark, d, "token_spans").where("utt_id is not null and token is not null and start_frame is not null and end_frame is not null")
-    return S.token_arrays(t.select("utt_id", "token", "start_frame", "end_frame").distinct())
+    return t.select("utt_id", "token", "start_frame", "end_frame").distinct()
+
+
+def _seqs(spark, d):
+    return S.token_arrays(_spans(spark, d))
+
+
+def _lengths(spark, d):
+    return _spans(spark, d).groupBy("utt_id").agg(F.count("*").cast("int").alias("n"))
 
 
 @query(f"select utt_id, array_to_string(list_concat([1], a, [1]), ' ') as tokens from {_SEQ}")
@@ -111,13 +120,17 @@ def seq_drop_blank(spark, d):
 
 @query(f"select utt_id, array_to_string(list_transform(generate_series(0, 19), lambda i: case when i >= len(a) then 1 else 0 end), '') as mask from {_SEQ}")
 def seq_pad_mask(spark, d):
-    return _seqs(spark, d).select("utt_id", F.array_join(F.transform(S.pad_mask(F.size("a"), 20), lambda x: x.cast("int").cast("string")), "").alias("mask"))
+    """Masks of batches of 32 utterances in the order of their lengths, each as wide as its longest one and 20 at least."""
+    t = number_rows(_lengths(spark, d), "n", "utt_id").select("utt_id", "n", F.floor((F.col("rn") - 1) / 32).alias("batch"))
+    t = t.join(t.groupBy("batch").agg(F.greatest(F.max("n"), F.lit(20)).alias("longest")), "batch")
+    mask = F.transform(S.pad_mask(F.col("n"), F.col("longest")), lambda x: x.cast("int").cast("string"))
+    return t.select("utt_id", "batch", F.array_join(mask, "").alias("mask"))
 
 
 @query(f"select utt_id, array_to_string(list_transform(generate_series(0, 5), lambda i: array_to_string(list_transform(generate_series(0, 5), lambda j: case when j < (i // 2 + 1) * 2 then 1 else 0 end), '')), '|') as mask from {_SEQ}")
 def seq_chunk_mask(spark, d):
-    row = lambda r: F.array_join(F.transform(r, lambda x: x.cast("int").cast("string")), "")
-    return _seqs(spark, d).select("utt_id", F.array_join(F.transform(S.chunk_mask(6, 2), row), "|").alias("mask"))
+    """The mask of each whole utterance as ranges, a row for each chunk of 2 positions; a square for each would grow with the square of its length."""
+    return _lengths(spark, d).select("utt_id", F.inline(S.chunk_ranges(F.col("n"), 2)))
 
 
 @query("select utt_id, start_frame, round(start_frame * 4 * 10 / 1000.0, 3) as seconds from token_spans where start_frame is not null")
