@@ -13,6 +13,8 @@ from vocalith.session import materialize
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: Components placed together in one task of the stratification.
 PER_TASK = 20_000
+#: A label of fewer groups than this for each task is placed in the first step.
+FEW = 20
 #: A component with at least this share of all records is placed before the others; there are at most 1 / share.
 HEAVY = 0.001
 
@@ -103,7 +105,8 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
 
     ``members`` has (utt_id, group_utt), ``labels`` (utt_id, label); a missing or null label counts as a label of its
     own. Label vectors are aggregated per group. Groups of at least a thousandth of all records (1000 at most) are
-    placed first, in one task; the others are spread over tasks by hash, each with its part of what is still needed.
+    placed first, in one task, and with them all groups of a label that has fewer than ``FEW`` groups for each task; the
+    others are spread over tasks by hash, each with its part of what is still needed.
     Proportions are reached up to the size of the groups. An empty table gives an empty result.
     """
     splits = splits or SPLITS
@@ -116,6 +119,12 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
     n_groups, n_rows = lv.agg(F.count("*"), F.sum("n")).first()
     heavy_at = HEAVY * (n_rows or 0)
     tasks = max(1, -(-(n_groups or 0) // per_task))
+    lv = lv.withColumn("first", F.col("n") >= heavy_at)
+    if tasks > 1:
+        e = lv.select("group_utt", F.explode("v.label").alias("label"))
+        few = e.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") < FEW * tasks)
+        few = e.join(few, "label", "left_semi").select("group_utt").distinct().withColumn("few", F.lit(True))
+        lv = materialize(lv.join(few, "group_utt", "left").withColumn("first", F.col("first") | F.coalesce("few", F.lit(False))).drop("few"))
 
     def place(pdf: pd.DataFrame, need: pd.DataFrame | None = None) -> pd.DataFrame:
         pdf = pdf.sort_values("group_utt").reset_index(drop=True)
@@ -134,7 +143,7 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
         return pd.DataFrame({"group_utt": pdf["group_utt"].astype(object), "split": [names[g] for g in got]})
 
     cols = "group_utt string, split string"
-    heavy = lv.where(F.col("n") >= heavy_at).select("group_utt", "v", F.lit(0).alias("t"))
+    heavy = lv.where("first").select("group_utt", "v", F.lit(0).alias("t"))
     placed = materialize(heavy.groupBy("t").applyInPandas(lambda p: place(p), cols))
     # What the heavy groups took beyond (or below) their share of each label is spread over the tasks.
     took = heavy.join(placed, "group_utt").select("split", F.inline("v"))
@@ -143,7 +152,7 @@ def grouped_split(members: DataFrame, labels: DataFrame, splits: dict[str, float
     whole = sum((F.coalesce(F.col(n), F.lit(0)) for n in names), F.lit(0))
     need = sums.withColumn("all", whole).select("label", F.inline(owed))
     need = need.select("label", "s", (F.col("w") / tasks).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("t"))
-    light = lv.where(F.col("n") < heavy_at).select("group_utt", "v", F.pmod(F.xxhash64("group_utt"), F.lit(tasks)).cast("int").alias("t"))
+    light = lv.where("not first").select("group_utt", "v", F.pmod(F.xxhash64("group_utt"), F.lit(tasks)).cast("int").alias("t"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return place(left, right) if len(left) else pd.DataFrame(columns=["group_utt", "split"])
