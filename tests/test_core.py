@@ -59,9 +59,21 @@ def test_remove_punctuation(spark, given, want):
     assert one(spark, T.remove_punctuation, given) == want
 
 
-@pytest.mark.parametrize(("given", "want"), [("(ab (c", " (ab (c"), ("a)b c)", "a) b c) "), ("  a  b     c  d    ", " a b c d "), ("a)  {.!:?;,}", "a){.!:?;,}".replace("){", ") {")), ("1   %a", "1%a"), ("a  :", "a:"), ("a  ;", "a;")])
-def test_punctuation_spacing(spark, given, want):
-    assert one(spark, T.punctuation_spacing, given).replace(") {", "){") == want.replace(") {", "){")
+MARKS = [
+    ("a\r\nb\r\n", "a\nb\n"), ("(ab (c", " (ab (c"), ("a)b c)", "a) b c) "), ("  a  b     c  d    ", " a b c d "), *[(f"a)  {x}", f"a){x}") for x in ".!:?;,"],
+    ("a(    b", "a (b"), ("ab    ) a", "ab) a"), ("1   %a", "1%a"), ("a  :", "a:"), ("a  ;", "a;"), ("`a`", "'a'"), ("''a''", '"a"'), ('„a"', '"a"'), ("“a„", '"a"'),
+    ("“a”", '"a"'), ("a–b", "a-b"), ("a—b", "a - b"), ("a´b", "a'b"), ("a‘B", "a'B"), ("A’B", "A'B"), ("A’b", "A'b"), ("a‘b", "a'b"), ("a‚b", "a'b"), ("’", '"'),
+    ("''", '"'), ("´´", '"'), ("…", "..."), ("a\xa0«\xa0b", 'a "b'), ("a «\xa0b", 'a "b'), ("a«b", 'a"b'), ("\xa0»\xa0", '" '), ("\xa0»", '"'), ("»", '"'),
+    (" %", "%"), ("\xa0:", ":"), ("2 3", "2.3"), ("2\xa03", "2.3"), ("a\xa0?", "a\\?"), ("a\xa0!", "a\\!"), ("a ?", "a ?"), ("5\xa0cm", "5 cm"), ('he "said", so', 'he "said," so'),
+]
+
+
+def test_punctuation_spacing(spark):
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(MARKS)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", T.punctuation_spacing(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(MARKS))] == [b for _, b in MARKS]
+    for lang, given, want in (("de", "2 3", "2,3"), ("fr", 'a," b." c', 'a", b". c'), ("cs", 'a," 2 3', 'a," 2,3')):
+        assert one(spark, lambda c, g=lang: T.punctuation_spacing(c, g), given) == want
 
 
 def test_text_goldens(spark):
@@ -76,11 +88,18 @@ def test_text_goldens(spark):
     assert all(T.zh_to_number(T.number_to_zh(n)) == n for n in (0, 7, 10, 105, 1010, 20010, 100001, 123456789, 10**12 + 5))
 
 
-def test_bytes():
-    for t in ("hello wörld", "你好", ""):
-        assert T.text_from_bytes(T.bytes_to_text(t)) == t
+def test_bytes(spark):
+    # Fixed facts of the alphabet: printable ASCII stays, and letters that normalize to others are passed over.
+    assert {b: ord(T.BYTE_TO_CHAR[b]) for b in (0, 31, 32, 126, 127, 144, 145, 146, 158, 255)} == {0: 256, 31: 287, 32: 32, 126: 126, 127: 288, 144: 305, 145: 308, 146: 309, 158: 323, 255: 422}
+    assert len(set(T.BYTE_TO_CHAR.values())) == 256
+    texts = ["hello  wörld", " 你好\n", "", "a\x00b", "🎧", "\x7f\x80", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", "t", T.byte_encode(F.col("t")).alias("x"), T.byte_decode(T.byte_encode(F.col("t"))).alias("y")).collect():
+        assert r.x == (None if r.t is None else T.bytes_to_text(r.t)) and r.y == (None if r.t is None else " ".join(r.t.split(" ")).replace("  ", " ").replace("\n", " "))
     broken = T.bytes_to_text("a你b")
-    assert T.text_from_bytes(broken[:2]) == "" and T.best_text_from_bytes(broken[:3] + broken[4:]) == "ab"
+    bad = [broken[:2], broken[:3] + broken[4:], "字", "a\u2047b", T.BYTE_TO_CHAR[0xC0] + "x", ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "i int, t string").select("i", T.byte_decode(F.col("t")).alias("y"), T.byte_decode_best(F.col("t")).alias("z")).collect()
+    assert [(r.y, r.z) for r in sorted(got)] == [("", "a"), ("", "ab"), ("", ""), ("a b", "a b"), ("", "x"), ("", "")]
 
 
 def test_sequences(spark):
@@ -95,10 +114,29 @@ def test_sequences(spark):
     assert S.reordered([1, 3, 9], [20, 30, 10], 4) == [(1, 0, 7), (0, 0, 5), (2, 2, 2)]
 
 
-def test_phrase_graph_strict():
-    g = search.PhraseGraph("S HE SHE SHELL HIS HERS HELLO THIS THEM".split())
-    want = {"HEHERSHE": 14, "HERSHE": 12, "HISHE": 9, "SHED": 6, "SHELF": 6, "HELL": 2, "HELLO": 7, "DHRHISQ": 4, "THEN": 2}
-    assert {q: g.score(q) for q in want} == want
+PHRASES = "S HE SHE SHELL HIS HERS HELLO THIS THEM".split()
+QUERIES = "HEHERSHE HERSHE HISHE SHED SHELF HELL HELLO DHRHISQ THEN".split()
+
+
+@pytest.mark.parametrize(
+    ("each", "strict", "want"),
+    [
+        (0, True, [14, 12, 9, 6, 6, 2, 7, 4, 2]), (0, False, [7, 5, 5, 3, 3, 2, 2, 3, 2]),
+        (5, True, [35.84, 30.84, 24.18, 18.34, 18.34, 5, 13, 10.84, 5]), (5, False, [20, 15, 10.84, 10, 10, 5, 5, 5.84, 5]),
+    ],
+)
+def test_phrase_graph(each, strict, want):
+    g = search.PhraseGraph(PHRASES, scores=[round(each / len(p), 2) for p in PHRASES])
+    assert [round(g.score(q, strict), 2) for q in QUERIES] == want
+    assert search.PhraseGraph([]).score("abc") == 0 and g.score("") == 0
+
+
+def test_keywords():
+    g = search.PhraseGraph([(1, 2), (1, 2, 3)], threshold=0.5, thresholds=[None, 0.9])
+    find = lambda labels, probs, tail=1: [(p, a, b, round(m, 3)) for p, a, b, m in search.find_keywords(labels, probs, g, 0, tail)]
+    assert find([0, 1, 1, 2, 0, 0], [0.9, 0.5, 0.7, 0.6, 0.9, 0.9]) == [((1, 2), 1, 3, 0.65)]
+    assert find([1, 2, 0, 3], [0.9, 0.9, 0.9, 0.95]) == [((1, 2, 3), 0, 3, 0.917)]
+    assert find([1, 2, 0, 3], [0.5, 0.5, 0.9, 0.5]) == [] and find([1, 2], [0.2, 0.2]) == [] and find([], []) == []
 
 
 def test_prefix_beam_against_all_paths():
@@ -136,14 +174,60 @@ def test_error_rate_without_reference(spark):
 def test_lm(spark):
     lines = spark.createDataFrame([("1", "a b a"), ("2", "a b"), ("3", "b c d"), ("4", None), ("5", "")], "id string, text string")
     counts = lm.ngram_counts(lines, 2)
-    got = {(r.n, r.history, r.word): r.cnt for r in counts.collect()}
-    assert got[(2, "a", "b")] == 2 and got[(2, "<s>", "a")] == 2 and got[(1, "", "</s>")] == 4 and (1, "", "<s>") not in got
+    got = {(r.n, r.history, r.word): (r.cnt, r.ctx) for r in counts.collect()}
+    assert got[(2, "a", "b")] == (2, 0) and got[(2, "<s>", "a")] == (2, 0) and got[(1, "", "</s>")] == (4, 4) and got[(1, "", "<s>")] == (4, 0)
+    assert {r.n: r.d for r in lm.discounts(counts).collect()} == {1: 0.0, 2: pytest.approx(8 / 12)}
     m = lm.kneser_ney(counts)
     assert all(r.total <= 1 + 1e-9 for r in lm.history_sums(m).collect())
-    s = lm.token_log_probs(lines.where("id = '1'"), m, "id")
-    assert s.count() == 4 and all(r.logp < 0 for r in s.collect())
-    p = lm.prune(m, 0.5)
-    assert p.where("n = 2").count() <= m.where("n = 2").count() and p.where("n = 1").count() == m.where("n = 1").count()
+    model = {(r.history, r.word): r for r in m.collect()}
+    d, uni = 8 / 12, {"a": 2, "b": 2, "c": 1, "d": 1, "</s>": 4}  # distinct left contexts
+    assert model["", "<s>"].f == 0 and all(model["", w].f == pytest.approx(k / 10) for w, k in uni.items()) and model["a", "b"].f == pytest.approx((2 - d) / 3)
+    # A sentence begins with a, b or its end; what is left goes to the others.
+    seen = sum((n - d) / 4 for n in (2, 1, 1))
+    assert model["", "<s>"].bow == pytest.approx((1 - seen) / (1 - 8 / 10))
+    s = lm.token_log_probs(spark.createDataFrame([("x", "c z")], "id string, text string"), m, "id")
+    got = {r.word: r.logp for r in s.collect()}
+    assert got["c"] == pytest.approx(math.log(model["", "<s>"].bow / 10)) and got["z"] == -20
+    assert lm.kneser_ney(counts.limit(0)).count() == 0
+
+
+def brute_prune(model, limit):
+    """Pruning on dictionaries (gram -> probability), weights computed anew wherever they are needed."""
+    order = max(map(len, model))
+
+    def weight(h):
+        mine = [g for g in model if g[:-1] == h]
+        low = sum(p(g[1:]) for g in mine)
+        return (1 - sum(model[g] for g in mine)) / (1 - low) if mine and low < 1 else 1.0
+
+    def p(g):
+        return model[g] if g in model else weight(g[:-1]) * p(g[1:])
+
+    for n in range(order, 1, -1):
+        gone = set()
+        for h in {g[:-1] for g in model if len(g) == n}:
+            mine = [g for g in model if g[:-1] == h]
+            num, den, old = 1 - sum(model[g] for g in mine), 1 - sum(p(g[1:]) for g in mine), weight(h)
+            joint = math.prod(p(h[:k]) if h[:k] != ("<s>",) or len(h) == 1 else model[("</s>",)] for k in range(1, len(h) + 1))
+            for g in mine:
+                new = (num + model[g]) / (den + p(g[1:]))
+                delta = -max(joint, 1e-99) * (model[g] * math.log(p(g[1:]) * new / model[g]) + num * math.log(new / old))
+                if math.exp(delta) - 1 < limit and not any(x[:-1] == g for x in model):
+                    gone.add(g)
+        model = {g: v for g, v in model.items() if g not in gone}
+    return model, weight
+
+
+@pytest.mark.parametrize("limit", [1e-3, 1e-2, 0.2])
+def test_prune_against_brute_force(spark, limit):
+    r = np.random.default_rng(4)
+    lines = spark.createDataFrame([(str(i), " ".join(r.choice(list("aabbcde"), r.integers(1, 7)))) for i in range(40)], "id string, text string")
+    m = lm.kneser_ney(lm.ngram_counts(lines, 3))
+    gram = lambda x: (*x.history.split(), x.word)
+    want, weight = brute_prune({gram(x): x.f for x in m.collect()}, limit)
+    got = {gram(x): (x.f, x.bow) for x in lm.prune(m, limit).collect()}
+    assert set(got) == set(want) and 5 < len(want) < m.count()
+    assert all(b == pytest.approx(weight(g)) for g, (_, b) in got.items() if b is not None)
 
 
 def test_folds(spark):

@@ -132,16 +132,24 @@ def char_pairs(c: Column, n: int = 2) -> Column:
 
 
 def punctuation_spacing(c: Column, lang: str = "en") -> Column:
-    """Spaces and quotes around punctuation in order; the last rules depend on the language."""
+    """Spaces and quotes around punctuation by ordered rules; what stands last depends on the language.
+
+    A blank before ``?`` or ``!`` becomes a backslash, and `` cm`` keeps its no-break space as a blank: this is how
+    results have always been made. ``\xa0`` below is the no-break space.
+    """
     rules = [
-        (r"\(", " ("), (r"\)", ") "), (r" +", " "), (r"\) ([.!:?;,])", ")$1"), (r"\( ", "("), (r" \)", ")"),
-        (r"(\d) %", "$1%"), (r" :", ":"), (r" ;", ";"), ("„", '"'), ("“", '"'), ("”", '"'), ("–", "-"), ("—", " - "), (r" +", " "),
-        ("´", "'"), ("([a-zA-Z])‘([a-zA-Z])", "$1'$2"), ("([a-zA-Z])’([a-zA-Z])", "$1'$2"), ("‘", "'"), ("‚", "'"), ("’", "'"), ("''", '"'), ("´´", '"'), ("…", "..."),
+        ("\r", ""), (r"\(", " ("), (r"\)", ") "), (" +", " "), (r"\) ([.!:?;,])", ")$1"), (r"\( ", "("), (r" \)", ")"), (r"(\p{Nd}) %", "$1%"), (" :", ":"), (" ;", ";"),
+        ("`", "'"), ("''", '"'), ("[„“”]", '"'), ("–", "-"), ("—", " - "), (" +", " "), ("´", "'"), ("([a-zA-ZİıſK])[‘]([a-zA-ZİıſK])", "$1'$2"),
+        ("([a-zA-ZİıſK])[’]([a-zA-ZİıſK])", "$1'$2"), ("[‘‚]", "'"), ("’", '"'), ("''", '"'), ("´´", '"'), ("…", "..."),
+        ("\xa0«\xa0", ' "'), ("«\xa0", '"'), ("«", '"'), ("\xa0»\xa0", '" '), ("\xa0»", '"'), ("»", '"'),
+        (" %", "%"), ("nº\xa0", "nº "), ("\xa0:", ":"), ("\xa0ºC", " ºC"), ("\xa0cm", " cm"), ("\xa0([?!])", r"\\$1"), ("\xa0;", ";"), (",\xa0", ", "), ("\xa0+", " "),
     ]
-    # A digit group: comma in languages that write decimals so.
-    rules += [(r"(\d)\x{a0}(\d)", "$1,$2" if lang in ("de", "es", "cz", "cs", "fr") else "$1.$2")]
-    rules += [(r"\"([,.]+)", "$1\"")] if lang == "en" else [(r",\"", "\","), (r"(\.+)\"(\s*[^<])", "\"$1$2")]
-    rules += [(r" ([?!])", r"\\\\$1")]
+    if lang == "en":
+        rules.append(('"([,.]+)', '$1"'))
+    elif lang not in ("cs", "cz"):
+        rules += [(',"', '",'), (r'(\.+)"(\s*[^<])', '"$1$2')]
+    # A digit group: a comma in languages that write decimals so.
+    rules.append((r"(\p{Nd}) (\p{Nd})", "$1,$2" if lang in ("de", "es", "cz", "cs", "fr") else "$1.$2"))
     for a, b in rules:
         c = F.regexp_replace(c, a, b)
     return c
@@ -258,18 +266,25 @@ def remove_erhua(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "儿", ""), "\x01", "儿")
 
 
-# Byte-level printable alphabet: bytes that are printable stand for themselves, the others for characters from U+0100 on.
-_PRINT = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-BYTE_TO_CHAR = {b: chr(b) for b in _PRINT} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINT))}
-CHAR_TO_BYTE = {c: b for b, c in BYTE_TO_CHAR.items()}
+def _byte_alphabet() -> dict[int, str]:
+    """A character for each byte: printable ASCII stands for itself; the others, in ascending order, take the code points
+    from U+0100 on that compatibility normalization leaves as they are."""
+    free = (chr(c) for c in range(0x100, 0x250) if unicodedata.normalize("NFKC", chr(c)) == chr(c))
+    return {b: chr(b) if 32 <= b <= 126 else next(free) for b in range(256)}
+
+
+BYTE_TO_CHAR = _byte_alphabet()
+#: The mark of an unknown piece, U+2047, reads as a blank.
+CHAR_TO_BYTE = {c: b for b, c in BYTE_TO_CHAR.items()} | {"\u2047": 32}
 
 
 def bytes_to_text(t: str) -> str:
-    return "".join(BYTE_TO_CHAR[b] for b in " ".join(t.split()).encode("utf-8", "surrogatepass"))
+    """White space runs become one blank; then a character for each UTF-8 byte."""
+    return "".join(BYTE_TO_CHAR[b] for b in re.sub(r"\s+", " ", t).encode("utf-8", "surrogatepass"))
 
 
 def text_from_bytes(t: str) -> str:
-    """The inverse; an invalid sequence gives the empty text."""
+    """The inverse; an invalid sequence or a foreign character gives the empty text."""
     try:
         return bytes(CHAR_TO_BYTE[c] for c in t).decode("utf-8")
     except (KeyError, UnicodeDecodeError):
@@ -277,29 +292,45 @@ def text_from_bytes(t: str) -> str:
 
 
 def best_text_from_bytes(t: str) -> str:
-    """The longest valid text that is left after dropping as few bytes as possible."""
-    raw = bytes(CHAR_TO_BYTE[c] for c in t if c in CHAR_TO_BYTE)
-    best: list[tuple[int, str]] = [(0, "")] * (len(raw) + 1)
-    for end in range(1, len(raw) + 1):
-        best[end] = best[end - 1]
-        for size in range(1, min(4, end) + 1):
+    """As ``text_from_bytes``; of an invalid sequence, the most characters that can be kept.
+
+    UTF-8 characters do not overlap, so they are kept from left to right wherever one starts and is whole.
+    """
+    if whole := text_from_bytes(t):
+        return whole
+    raw = [CHAR_TO_BYTE.get(c) for c in t]
+    out, i = [], 0
+    while i < len(raw):
+        b = raw[i]
+        size = 0 if b is None else 1 if b < 0x80 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+        part = raw[i : i + size]
+        if size and len(part) == size and None not in part:
             try:
-                c = raw[end - size : end].decode("utf-8")
-            except UnicodeDecodeError:
+                out.append(bytes(part).decode("utf-8"))
+                i += size
                 continue
-            if len(c) == 1 and best[end - size][0] + 1 > best[end][0]:
-                best[end] = (best[end - size][0] + 1, best[end - size][1] + c)
-    return best[-1][1]
+            except UnicodeDecodeError:
+                pass
+        i += 1
+    return "".join(out)
 
 
-@pandas_udf(StringType())
-def byte_encode(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else bytes_to_text(t))
+_LATIN = "".join(chr(b) for b in range(1, 256))
+_BYTES = "".join(BYTE_TO_CHAR[b] for b in range(1, 256))
 
 
-@pandas_udf(StringType())
-def byte_decode(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else text_from_bytes(t))
+def byte_encode(c: Column) -> Column:
+    """``bytes_to_text`` without leaving the JVM: the bytes read as Latin-1, then a table of 255 characters. A null
+    character, which ``translate`` cannot take, has a rule of its own."""
+    x = F.decode(F.encode(F.regexp_replace(c, r"(?U)\s+", " "), "UTF-8"), "ISO-8859-1")
+    return F.replace(F.translate(x, _LATIN, _BYTES), F.lit("\x00"), F.lit(BYTE_TO_CHAR[0]))
+
+
+def byte_decode(c: Column) -> Column:
+    """``text_from_bytes`` without leaving the JVM."""
+    x = F.replace(F.translate(c, _BYTES + "\u2047", _LATIN + " "), F.lit(BYTE_TO_CHAR[0]), F.lit("\x00"))
+    own = c.rlike(f"^[{BYTE_TO_CHAR[0]}{re.escape(_BYTES)}\u2047]*$")
+    return F.when(own, F.coalesce(F.try_validate_utf8(F.encode(x, "ISO-8859-1").cast("string")), F.lit(""))).when(c.isNotNull(), "")
 
 
 @pandas_udf(StringType())

@@ -71,65 +71,104 @@ def beam_search(frames: DataFrame, key: str, order: str, scores: str, beam: int
 
 
 class PhraseGraph:
-    """A trie of phrases with failure links; a step returns how much the boost of the matched part changes.
+    """A trie of phrases with failure links, stepped through one label at a time.
 
-    With ``strict`` every unfinished match is taken back in full when it breaks off; otherwise what the phrases that
-    have ended on the way are worth is kept.
+    Each phrase has a boost for each of its labels and a threshold of acoustic probability (``None``: the defaults). A
+    state that phrases share has the largest boost among them. Labels may be characters or ids.
     """
 
-    def __init__(self, phrases: list[str], score: float = 1.0) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.worth, self.total, self.end, self.depth = [0.0], [0.0], [False], [0]
-        for p in phrases:
+    def __init__(self, phrases: list, score: float = 1.0, threshold: float = 1.0, scores: list[float | None] | None = None, thresholds: list[float | None] | None = None) -> None:
+        self.next: list[dict] = [{}]
+        self.boost, self.total, self.end, self.phrase, self.limit = [0.0], [0.0], [False], [None], [0.0]
+        for k, p in enumerate(phrases):
+            each = (scores[k] if scores else None) or score
             at = 0
             for c in p:
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
+                to = self.next[at].get(c)
+                if to is None:
+                    to = self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.worth.append(self.worth[at] + score)
-                    self.depth.append(self.depth[at] + 1)
-                    self.total.append(0.0)
-                    self.end.append(False)
-                at = self.next[at][c]
-            self.end[at] = True
-        self.fail, self.out = [0] * len(self.next), [0] * len(self.next)
-        queue = deque(self.next[0].values())
+                    for column, empty in ((self.boost, 0.0), (self.total, 0.0), (self.end, False), (self.phrase, None), (self.limit, 0.0)):
+                        column.append(empty)
+                self.boost[to] = max(self.boost[to], each)
+                self.total[to] = self.total[at] + self.boost[to]
+                at = to
+            if at:
+                self.end[at], self.phrase[at], self.limit[at] = True, p, (thresholds[k] if thresholds else None) or threshold
+        self.fail, self.out, self.gain = [0] * len(self.next), [0] * len(self.next), [0.0] * len(self.next)
+        queue = deque([0])
         while queue:
             s = queue.popleft()
-            for c, t in self.next[s].items():
-                f = self.fail[s]
-                while f and c not in self.next[f]:
-                    f = self.fail[f]
-                self.fail[t] = self.next[f].get(c, 0)
-                queue.append(t)
             f = self.fail[s]
             self.out[s] = f if self.end[f] else self.out[f]
+            # What all phrases that end here are worth together.
+            self.gain[s] = (self.total[s] if self.end[s] else 0.0) + self.gain[self.out[s]]
+            for c, t in self.next[s].items():
+                self.fail[t] = self._go(f, c) if s else 0
+                queue.append(t)
 
-    def ends(self, s: int) -> float:
-        """The worth of all phrases that end at the state."""
-        total, at = 0.0, s if self.end[s] else self.out[s]
-        while at:
-            total += self.worth[at]
-            at = self.out[at]
-        return total
-
-    def score(self, query: str) -> float:
-        """The worth of all occurrences of phrases, overlapping ones included."""
+    def _go(self, at: int, c) -> int:
+        while at and c not in self.next[at]:
+            at = self.fail[at]
+        return self.next[at].get(c, 0)
+
+    def matched(self, at: int) -> int:
+        """The state of the longest phrase that ends here, 0 if none does."""
+        return at if self.end[at] else self.out[at]
+
+    def step(self, at: int, c, strict: bool = True) -> tuple[float, int, int]:
+        """(change of the boost, next state, state of the matched phrase or 0).
+
+        An open match counts from its first label on and is taken back where it breaks off. ``strict`` adds each phrase
+        that ends here and goes on; otherwise the longest one counts alone and matching starts anew at the root.
+        """
+        child = self.next[at].get(c)
+        to = self._go(at, c) if child is None else child
+        change = self.boost[to] if child is not None else self.total[to] - self.total[at]
+        hit = self.matched(to)
+        if strict or not self.gain[to]:
+            return change + self.gain[to], to, hit
+        return change + self.total[hit] - self.total[to], 0, hit
+
+    def finish(self, at: int) -> float:
+        """What an open match has to give back at the end."""
+        return -self.total[at]
+
+    def score(self, query, strict: bool = True) -> float:
+        """The boost of a whole query."""
         at, total = 0, 0.0
         for c in query:
-            while at and c not in self.next[at]:
-                at = self.fail[at]
-            at = self.next[at].get(c, 0)
-            total += self.ends(at)
-        return total
-
-    def longest(self, query: str) -> float:
-        """As ``score``, but a phrase counts only for its longest match at each end."""
-        at, total = 0, 0.0
-        for c in query:
-            while at and c not in self.next[at]:
-                at = self.fail[at]
-            at = self.next[at].get(c, 0)
-            e = at if self.end[at] else self.out[at]
-            total += self.worth[e]
-        return total
+            change, at, _ = self.step(at, c, strict)
+            total += change
+        return total + self.finish(at)
+
+
+def find_keywords(labels: list, probs: list[float], graph: PhraseGraph, blank=0, tail: int = 1) -> list[tuple[object, int, int, float]]:
+    """(phrase, first frame, last frame, mean probability) of keywords in the best labels of the frames.
+
+    Repeated labels count once, at their most probable frame. A keyword fires when more than ``tail`` blank frames follow
+    its last label, or the frames end, and the mean probability of its labels reaches its threshold; then matching starts
+    anew.
+    """
+    out, at, held, wait, before = [], 0, [], 0, None
+    size = len(labels)
+    for i, (c, p) in enumerate(zip(labels, probs, strict=True)):
+        if c == blank:
+            wait += 1
+        elif c == before:
+            if held and p > held[-1][1]:
+                held[-1] = (held[-1][0], p, i)
+            wait = 0
+        else:
+            _, at, _ = graph.step(at, c)
+            held.append((i, p, i))
+            wait = 0
+        before = c
+        hit = graph.matched(at)
+        if hit and (wait > tail or i == size - 1):
+            own = held[-len(graph.phrase[hit]) :]
+            mean = sum(x[1] for x in own) / len(own)
+            if mean >= graph.limit[hit]:
+                out.append((graph.phrase[hit], own[0][0], own[-1][2], mean))
+                at, held = 0, []
+    return out

@@ -23,12 +23,18 @@ def _lines(spark, d):
 
 _NG = f"""
 with w as (select id, list_concat(['<s>'], list_filter(string_split(text, ' '), lambda x: x <> ''), ['</s>']) as w from {_ONCE}),
-g as (select n, w, unnest(generate_series(case when n = 1 then 1 else 0 end, len(w) - n)) as i from w, range(1, 4) t(n) where len(w) >= n),
+g as (select n, w, unnest(generate_series(0, len(w) - n)) as i from w, range(1, 4) t(n) where len(w) >= n),
 c as (select n, array_to_string(w[i + 1:i + n - 1], ' ') as history, w[i + n] as word, case when i > 0 and n < 3 then w[i] end as lft from g),
-k as (select cast(n as integer) as n, history, word, count(*) as cnt, count(distinct lft) as ctx from c group by n, history, word)
+k as materialized (select cast(n as integer) as n, history, word, count(*) as cnt, count(distinct lft) as ctx from c group by n, history, word)
 """
-_DISC = """, u as (select *, case when n = 3 or ctx = 0 then cnt else ctx end as x from k),
-dd as (select n, greatest(count_if(x = 1), 0.1) / (count_if(x = 1) + 2 * count_if(x = 2)) as d from u group by n)
+_DISC = """, dd as materialized (select n, case when n = 1 then 0.0::double else greatest(count_if(cnt = 1), 0.1) / (count_if(cnt = 1) + 2 * count_if(cnt = 2)) end as d from k group by n)
+"""
+_KN = """, u as (select *, case when n < 3 and (n = 1 or ctx > 0) then ctx else cnt end as x from k),
+t as materialized (select n, history, sum(x) as total from u group by n, history),
+f as materialized (select u.n, u.history, word, greatest(x - d, 0) / total as f, case when u.history = '' then word else u.history || ' ' || word end as gram,
+  case when contains(u.history, ' ') then substr(u.history, instr(u.history, ' ') + 1) else '' end as suffix from u join dd using (n) join t on t.n = u.n and t.history = u.history),
+s as materialized (select h.n, h.history, sum(h.f) as sf, sum(coalesce(l.f, 0)) as sg from f h left join f l on l.n = h.n - 1 and l.word = h.word and l.history = h.suffix where h.n > 1 group by h.n, h.history),
+m as materialized (select f.n, f.history, f.word, f.f, f.gram, f.suffix, case when sg < 1 then (1 - sf) / (1 - sg) end as bow from f left join s on s.n = f.n + 1 and s.history = f.gram)
 """
 
 
@@ -42,25 +48,58 @@ def ngram_discounts(spark, d):
     return lm.discounts(lm.ngram_counts(_lines(spark, d), 3))
 
 
-@query(_NG + _DISC + """, f as (select u.n, history, word, case when u.n = 1 then x / sum(x) over (partition by u.n, history) else (x - d) / sum(x) over (partition by u.n, history) end as f from u join dd using (n)),
-s as (select h.n, h.history, sum(h.f) as sf, sum(coalesce(l.f, 0)) as sg from f h left join f l on l.n = h.n - 1 and l.word = h.word
-  and l.history = case when contains(h.history, ' ') then substr(h.history, instr(h.history, ' ') + 1) else '' end where h.n > 1 group by h.n, h.history)
-select f.n, f.history, f.word, round(f.f, 9) as f, round((1 - sf) / (1 - sg), 7) as bow from f left join s on s.n = f.n + 1 and sg < 1
-  and s.history = case when f.history = '' then f.word else f.history || ' ' || f.word end""")
+@query(_NG + _DISC + _KN + "select n, history, word, round(f, 9) as f, round(bow, 7) as bow from m")
 def ngram_kneser_ney(spark, d):
     m = lm.kneser_ney(lm.ngram_counts(_lines(spark, d), 3))
     return m.select("n", "history", "word", F.round("f", 9).alias("f"), F.round("bow", 7).alias("bow"))
 
 
-@query()
+_SCORED = """, w3 as (select id, w, unnest(generate_series(2, len(w))) as pos from w),
+q as (select id, pos, w[pos] as word, w[pos - 1] as h1, case when pos > 2 then w[pos - 2] || ' ' || w[pos - 1] end as h2 from w3),
+lp as (select id, case when c.f is not null then ln(c.f) when b.f is not null then ln(b.f) + coalesce(ln(y.bow), 0) else ln(a.f) + coalesce(ln(x.bow), 0) + coalesce(ln(y.bow), 0) end as logp
+  from q left join m c on c.n = 3 and c.history = h2 and c.word = q.word left join m b on b.n = 2 and b.history = h1 and b.word = q.word left join m a on a.n = 1 and a.word = q.word
+  left join m x on x.n = 1 and x.word = h1 left join m y on y.n = 2 and y.gram = h2)
+"""
+
+
+@query(_NG + _DISC + _KN + _SCORED + "select round(exp(-sum(logp) / count(*)), 6) as ppl, count(*) as n_tokens from lp")
 def ngram_perplexity(spark, d):
     lines = _lines(spark, d)
-    return lm.perplexity(lm.token_log_probs(lines, lm.kneser_ney(lm.ngram_counts(lines, 2)), "id"))
+    p = lm.perplexity(lm.token_log_probs(lines, lm.kneser_ney(lm.ngram_counts(lines, 3)), "id"))
+    return p.select(F.round("ppl", 6).alias("ppl"), "n_tokens")
 
 
-@query()
+@query(_NG + _DISC + _KN + _SCORED + "select id, round(sum(logp), 6) as logp, count(*) as n_tokens from lp group by id")
+def ngram_sentence_scores(spark, d):
+    lines = _lines(spark, d)
+    p = lm.token_log_probs(lines, lm.kneser_ney(lm.ngram_counts(lines, 3)), "id")
+    return p.groupBy("id").agg(F.round(F.sum("logp"), 6).alias("logp"), F.count("*").alias("n_tokens"))
+
+
+@query(_NG + _DISC + _KN + "select n, count(*) as histories, count_if(total > 1 + 1e-9) as above_one from (select n, history, sum(f) as total from m group by n, history) group by n")
+def ngram_validity(spark, d):
+    h = lm.history_sums(lm.kneser_ney(lm.ngram_counts(_lines(spark, d), 3)))
+    return h.groupBy("n").agg(F.count("*").alias("histories"), F.count_if(F.col("total") > 1 + 1e-9).alias("above_one"))
+
+
+@query(_NG + _DISC + _KN + """, eos as (select f as pe from m where n = 1 and word = '</s>'),
+ph as (select m.gram, case when m.history = '<s>' then pe else p.f end * m.f as ph from m left join m p on p.n = 1 and p.word = m.history cross join eos where m.n = 2),
+y3 as (select x.history, x.word, x.f, x.gram, l.f as g from m x left join m l on l.n = 2 and l.history = x.suffix and l.word = x.word where x.n = 3),
+s3 as (select history, 1 - sum(f) as num, 1 - sum(coalesce(g, 0)) as den from y3 group by history),
+z3 as (select y3.*, num, coalesce(o.bow, 1) as own, (num + y3.f) / (den + g) as nw, ph from y3 join s3 using (history) left join m o on o.n = 2 and o.gram = y3.history left join ph on ph.gram = y3.history),
+d3 as (select gram from z3 where g > 0 and exp(-coalesce(ph, 1e-99) * (f * ln(g * nw / f) + num * ln(nw / own))) - 1 < 1e-7),
+k3 as materialized (select history, word, f, suffix from m where n = 3 and gram not in (select gram from d3)),
+y2 as (select x.history, x.word, x.f, x.gram, l.f as g from m x left join m l on l.n = 1 and l.word = x.word where x.n = 2),
+s2 as (select history, 1 - sum(f) as num, 1 - sum(coalesce(g, 0)) as den from y2 group by history),
+z2 as (select y2.*, num, coalesce(o.bow, 1) as own, (num + y2.f) / (den + g) as nw, greatest(o.f, 1e-99) as ph from y2 join s2 using (history) left join m o on o.n = 1 and o.word = y2.history),
+d2 as (select gram from z2 where g > 0 and exp(-ph * (f * ln(g * nw / f) + num * ln(nw / own))) - 1 < 1e-7 and gram not in (select history from k3)),
+k2 as materialized (select history, word, f, gram from m where n = 2 and gram not in (select gram from d2)),
+b1 as materialized (select k2.history, (1 - sum(k2.f)) / (1 - sum(a.f)) as bow from k2 join m a on a.n = 1 and a.word = k2.word group by k2.history having sum(a.f) < 1),
+b2 as materialized (select k3.history, sum(coalesce(b.f, a.f * coalesce(w.bow, 1))) as sg from k3 left join k2 b on b.history = k3.suffix and b.word = k3.word join m a on a.n = 1 and a.word = k3.word left join b1 w on w.history = k3.suffix group by k3.history)
+select 1 as n, (select count(*) from m where n = 1) as kept, (select count(*) from b1) as with_bow
+union all select 2, (select count(*) from k2), (select count(*) from b2 where sg < 1) union all select 3, (select count(*) from k3), 0""")
 def ngram_pruned(spark, d):
-    m = lm.prune(lm.kneser_ney(lm.ngram_counts(_lines(spark, d), 2)), 1e-6)
+    m = lm.prune(lm.kneser_ney(lm.ngram_counts(_lines(spark, d), 3)), 1e-7)
     return m.groupBy("n").agg(F.count("*").alias("kept"), F.count("bow").alias("with_bow"))
 
 
@@ -193,17 +232,35 @@ def ctc_prefix_beam(spark, d):
     return search.beam_search(e, "utt", "vec_id", "embedding")
 
 
-@query()
-def phrase_boost(spark, d):
-    graph = search.PhraseGraph(["window", "the window", "low", "owl", "hospital"])
+_PHRASES = ("window", "the window", "low", "owl", "hospital")
+
+
+def _boosts(spark, d, strict, scores=None):
+    graph = search.PhraseGraph(list(_PHRASES), scores=scores)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"].astype(object), "boost": [graph.score(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"].astype(object), "boost": [round(graph.score(t, strict), 6) for t in pdf["text"]]})
 
     return _lines(spark, d).select("id", F.lower("text").alias("text")).mapInPandas(run, "id string, boost double")
 
 
+@query("select id, cast(" + " + ".join(f"(length(t) - length(replace(t, '{p}', '')))" for p in _PHRASES) + f" as double) as boost from (select id, lower(text) as t from {_ONCE})")
+def phrase_boost(spark, d):
+    return _boosts(spark, d, True)
+
+
+@query(f"""with recursive t as (select id, lower(text) as t from {_ONCE}),
+r as (select id, t as rest, cast(0 as double) as boost from t
+  union all select id, substr(rest, p + case when starts_with(substr(rest, p), 'the window') then 10 when starts_with(substr(rest, p), 'window') then 6 when starts_with(substr(rest, p), 'hospital') then 8 else 3 end),
+    boost + case when starts_with(substr(rest, p), 'the window') then 10 when starts_with(substr(rest, p), 'window') then 6 when starts_with(substr(rest, p), 'hospital') then 8 else 3 end
+  from (select *, length(rest) - length(regexp_replace(rest, '^.*?(the window|window|hospital|low|owl)', '\\1', 's')) + 1 as p, regexp_matches(rest, 'the window|window|hospital|low|owl') as hit from r) where hit)
+select id, max(boost) as boost from r group by id""")
+def phrase_boost_single(spark, d):
+    """One phrase at a time: each match, the longest that ends there, starts the matching anew."""
+    return _boosts(spark, d, False)
+
+
 @query(f"""with w as (select id, unnest(string_split(lower(text), ' ')) as word, generate_subscripts(string_split(lower(text), ' '), 1) as pos from {_ONCE}),
 c as (select word, count(*) as n from w group by word)
 select id, string_agg(word, ' ' order by pos) as words from w join c using (word) where n <= 2 and word <> '' group by id""")

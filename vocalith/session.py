@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -52,31 +51,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-_WRITTEN: list[tuple[object, str]] = []
+_WRITTEN: dict[str, tuple] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @atexit.register
 def _remove_written() -> None:
-    for fs, where in _WRITTEN:
+    for fs, where in _WRITTEN.values():
         try:
             fs.delete(where, True)
         except Exception:  # the session may be gone
             return
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *previous: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the shared checkpoint folder, which survives the loss of executors.
 
-    Columnar files take a fraction of the space of ``checkpoint()``. Shuffles that only led here are released at once,
-    instead of whenever the driver collects its garbage.
+    Columnar files take a fraction of the space of ``checkpoint()``. The shuffles that only led here are released as
+    soon as the table is written. ``previous`` are tables from earlier calls that nothing needs any more; their files go.
     """
     spark = df.sparkSession
     where = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(where)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        spark.conf.set(_CLEAN, before)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    _WRITTEN.append((path.getFileSystem(spark._jsc.hadoopConfiguration()), path))
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(where)
+    _WRITTEN[where] = (path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+    release(*previous)
+    out = spark.read.schema(schema).parquet(where)
+    out._written_to = where
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables from ``materialize``; others are left alone. Nothing may read them afterwards."""
+    for t in tables:
+        found = _WRITTEN.pop(getattr(t, "_written_to", None), None)
+        if found:
+            found[0].delete(found[1], True)
