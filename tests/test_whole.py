@@ -1,7 +1,6 @@
 """Queries against whole results: nothing is left out by a join, a length or a limit."""
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +8,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from vocalith.functions import sequences as S
-from vocalith.llm.splits import grouped_split
 from vocalith.operators import evaluation as E
 
 
@@ -137,12 +135,3 @@ def test_chunk_ranges_as_mask(spark, left):
     for size, chunk in ((1, 2), (4, 2), (7, 3), (6, 4)):
         x = spark.range(1).select(S.chunk_ranges(F.lit(size), chunk, left).alias("r"), S.chunk_mask(size, chunk, left).alias("m")).first()
         assert [[r.seen_from <= j < r.seen_to for j in range(size)] for r in x.r for _ in range(r.first, r.stop)] == x.m
-
-
-def test_split_of_label_with_a_group_for_each_task(spark):
-    label = {f"g{i:04}": "rare" if i % 130 == 0 else "often" for i in range(2600)}
-    members = spark.createDataFrame([(g, g) for g in label], "utt_id string, group_utt string")
-    got = {r.utt_id: r.split for r in grouped_split(members, spark.createDataFrame(list(label.items()), "utt_id string, label string"), per_task=130).collect()}
-    assert len(got) == 2600
-    count = Counter(got[g] for g in label if label[g] == "rare")
-    assert sorted(count.values()) == [2, 2, 16]
