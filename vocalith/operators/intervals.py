@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocalith.session import materialize
+
 #: Length of the time slices in which intervals are merged first, so that one key never has to fit one task.
 SLICE_MS = 600_000
 
@@ -20,7 +22,8 @@ def merge_intervals(df: DataFrame, key: str, start_s: str, end_s: str, slice_ms:
 
     ``session_window`` with a row-specific duration merges the intervals that start in the same slice of time of a
     key. Across slices, the furthest end of all earlier slices (one row per key and slice) tells which periods go on,
-    so no task ever holds a whole key. Touching periods are joined afterwards; gaps come from the next period's start.
+    so no task ever holds a whole key. Touching periods are joined afterwards; a gap ends where a period starts, and the
+    period before it by ``lead`` over the slices.
 
     Rows with a null key, a null or non-finite time, or end <= start (after rounding to milliseconds) are ignored;
     repeated rows change nothing; an empty input gives an empty result. Other columns are not read.
@@ -30,30 +33,26 @@ def merge_intervals(df: DataFrame, key: str, start_s: str, end_s: str, slice_ms:
         .where(F.col("k").isNotNull() & (F.col("e") > F.col("s")))
         .withColumn("b", F.floor(F.col("s") / slice_ms))
     )
+    # How far the intervals of all earlier slices reach, and of the whole key: one row for each key and slice.
+    over = Window.partitionBy("k").orderBy("b")
+    far = iv.groupBy("k", "b").agg(F.max("e").alias("m")).select(
+        "k", "b", F.max("m").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.max("m").over(Window.partitionBy("k")).alias("whole"))
     # The session gap of a row is its own length: a session is then the union of overlapping intervals.
     sess = F.session_window(F.timestamp_millis("s"), F.concat((F.col("e") - F.col("s")).cast("string"), F.lit(" milliseconds")))
-    merged = iv.groupBy("k", "b", sess.alias("w")).agg(F.min("s").alias("s"), F.max("e").alias("e")).select("k", "b", "s", "e")
-
-    by_slice = merged.groupBy("k", "b").agg(F.max("e").alias("slice_end"))
-    earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    by_slice = by_slice.select("k", "b", F.max("slice_end").over(earlier).alias("before"))
-    in_slice = Window.partitionBy("k", "b").orderBy("s", "e")
-    p = merged.join(by_slice, ["k", "b"])
-    reach = F.greatest("before", F.max("e").over(in_slice.rowsBetween(Window.unboundedPreceding, -1)))
-    p = p.withColumn("fresh", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0))
-    p = p.withColumn("within", F.sum("fresh").over(in_slice.rowsBetween(Window.unboundedPreceding, 0)))
-
-    starts = p.groupBy("k", "b").agg(F.sum("fresh").alias("n"))
-    starts = starts.select("k", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    p = p.join(starts, ["k", "b"]).withColumn("no", F.col("within") + F.col("offset"))
-    periods = p.groupBy("k", "no").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-
-    # lead over numbered periods, as an equi-join on (key, number): it spreads one large key over all tasks.
-    nxt = periods.select("k", (F.col("no") - 1).alias("no"), F.col("s").alias("next_s"))
-    both = periods.join(nxt, ["k", "no"], "left")
+    merged = iv.groupBy("k", "b", sess.alias("w")).agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    merged = merged.groupBy("k", "b").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("a")).join(far, ["k", "b"])
+
+    # A session begins a period if it starts behind all that is before it; ``r`` is how far that reaches.
+    reach = lambda x, i: F.struct(x["s"].alias("s"), F.greatest("before", F.when(i > 0, F.get("a", i - 1)["e"])).alias("r"))
+    fresh = F.filter(F.transform("a", reach), lambda x: x["r"].isNull() | (x["s"] > x["r"]))
+    # Without the slices that only carry on a period, there is a row for each slice in which periods begin.
+    begun = materialize(merged.select("k", "b", "whole", fresh.alias("a")).where(F.size("a") > 0))
+    # A period ends where the next one finds the reach; the last one of a slice takes it from the next slice.
+    after = begun.select("k", "b", F.coalesce(F.lead(F.get("a", F.lit(0))["r"]).over(over), "whole").alias("after"))
+    p = begun.drop("whole").join(after, ["k", "b"]).select("k", "after", "a", F.posexplode("a").alias("i", "x"))
+    p = p.select("k", "x.s", "x.r", F.coalesce(F.get("a", F.col("i") + 1)["r"], "after").alias("e"))
     rows = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_ms"), F.col("e").alias("end_ms")),
-        F.struct(F.lit("gap").alias("kind"), F.col("e").alias("start_ms"), F.col("next_s").alias("end_ms")),
+        F.struct(F.lit("gap").alias("kind"), F.col("r").alias("start_ms"), F.col("s").alias("end_ms")),
     )
-    out = both.select(F.col("k").alias(key), F.inline(rows))
-    return out.where(F.col("end_ms").isNotNull())
+    return p.select(F.col("k").alias(key), F.inline(rows)).where(F.col("start_ms").isNotNull())
