@@ -58,16 +58,16 @@ def p3_splits(spark, sf_dir):
     return grouped_split(utterance_groups(table(spark, sf_dir, "utt2spk")), labels)
 
 
-def _runs(spark, sf_dir):
-    return collapse_runs(table(spark, sf_dir, "token_spans"), table(spark, sf_dir, "symbols"))
+def _runs(spark, sf_dir, single):
+    return collapse_runs(table(spark, sf_dir, "token_spans"), table(spark, sf_dir, "symbols"), single=single)
 
 
 def p7_found(spark, sf_dir):
-    return _runs(spark, sf_dir).where("n_spans >= 2").select("utt_id", "start_frame", "end_frame", "n_spans")
+    return _runs(spark, sf_dir, False).select("utt_id", "start_frame", "end_frame", "n_spans")
 
 
 def p7_events(spark, sf_dir):
-    return _runs(spark, sf_dir)
+    return _runs(spark, sf_dir, True)
 
 
 def p8_ids(spark, sf_dir):
