@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,10 +48,12 @@ TIME = re.compile(
     rf"|(?:(?:(?<=\n)|(?<=^))\d+[ \t]*\n)?(?P<d>\d{{1,2}}:\d\d(?::\d\d)?[.,]\d{{1,3}})[ \t]*-->[ \t]*\d{{1,2}}:\d\d(?::\d\d)?[.,]\d{{1,3}}"
     r"|(?<![\d:.,])(?P<e>\d{1,2}:\d\d:\d\d(?:[.,]\d{1,3})?)(?![\d:])"
 )
-_NUM = re.compile(r"(?:speaker|spkr|spk|sprecher|locuteur|hablante|s|participant|person|voice)[\s_.#-]*0*(\d+)$", re.I)
-_LETTER = re.compile(r"(?:(?:speaker|spkr|spk|participant|person|voice)[\s_.#-]*)?([a-z])$", re.I)
+# Words for a speaker, before a number or a letter.
+SPEAKER = "speaker spkr spk sprecher locuteur hablante participant person voice".split()
+_REST = re.compile(r"[\s_.#-]*(?:0*(\d+)|([a-z]))\.?$", re.I)
+_ROLE_REST = re.compile(r"[\s_.]*(\d*)[\s.]*$")
+_SHORT = re.compile(r"(?:s[\s_.#-]*)?0*(\d+)$|([a-z])$", re.I)
 _NAME = re.compile(r"(?:(?:dr|mr|mrs|ms|prof)\.?\s+)?[^\W\d_][\w'’-]*\.?(?:\s+[^\W\d_][\w'’-]*\.?){0,2}$", re.I)
-_AFTER = re.compile(r"\s*(?:\[\s*(?P<x>[\d:.,]+)\s*\]|\(\s*(?P<y>[\d:.,]+)\s*\))?\s*:")
 
 
 def seconds(clock: str) -> float:
@@ -62,8 +65,10 @@ def seconds(clock: str) -> float:
 
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
-    """All literal cues: marks that open or close labels, speaker words, hesitations and annotation words."""
+    """All literal cues: marks that open or close labels, words for speakers and roles, hesitations and annotation words."""
     cues: dict[str, set] = {}
+    for w in (*SPEAKER, *_ROLE):
+        cues.setdefault(w, set()).add(("who", w))
     for c in (":", "[", "<v ", ">>"):
         cues.setdefault(c, set()).add(("cue", c))
     for lang, words in FILLERS.items():
@@ -101,25 +106,48 @@ def _subtract(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[i
 
 
 class _Label:
-    __slots__ = ("end", "name", "start", "strong", "time")
-
-    def __init__(self, start: int, end: int, name: str, strong: bool, time: float | None = None) -> None:
-        self.start, self.end, self.name, self.strong, self.time = start, end, name, strong, time
-
-
-def _kind(name: str) -> tuple[str, str] | None:
-    """The speaker that a label names by itself: a number, a letter or a role."""
-    n = " ".join(name.replace("_", " ").split())
-    if m := _NUM.match(n):
-        return "n", m[1]
-    if m := _LETTER.match(n):
-        return "l", m[1].lower()
-    if n.isdigit():
-        return "n", n.lstrip("0") or "0"
-    low = n.lower().rstrip(".")
-    head, _, no = low.partition(" ")
-    if head in _ROLE and (not no or no.isdigit()):
-        return "r", _ROLE[head] + (f" {int(no)}" if no else "")
+    __slots__ = ("end", "kind", "name", "start", "strong", "time")
+
+    def __init__(self, start: int, end: int, name: str, kind: tuple[str, str] | None, strong: bool, time: float | None = None) -> None:
+        self.start, self.end, self.name, self.kind, self.strong, self.time = start, end, name, kind, strong, time
+
+
+class _Places:
+    """Ascending positions in a text; the first one at or behind a position, and the last one before it."""
+
+    def __init__(self, at: list[int]) -> None:
+        self.at = at
+
+    @classmethod
+    def of(cls, text: str, mark: str) -> _Places:
+        return cls([m.start() for m in re.finditer(re.escape(mark), text)])
+
+    def next(self, i: int) -> int:
+        k = bisect_left(self.at, i)
+        return self.at[k] if k < len(self.at) else 1 << 60
+
+    def last(self, i: int) -> int:
+        k = bisect_left(self.at, i)
+        return self.at[k - 1] if k else -1
+
+
+def _kind(text: str, start: int, end: int, who: dict[int, list[str]]) -> tuple[str, str] | None:
+    """The speaker that a label names by itself: a number, a letter or a role. ``who`` has the automaton's words by start."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    while start < end and text[start].isspace():
+        start += 1
+    for w in sorted(who.get(start, ()), key=len, reverse=True):
+        at = start + len(w)
+        if at > end or at < end and text[at].isalpha():
+            continue
+        rest = text[at:end]
+        if w in SPEAKER and (m := _REST.match(rest)):
+            return ("n", m[1]) if m[1] else ("l", m[2].lower())
+        if w in _ROLE and (m := _ROLE_REST.match(rest)):
+            return "r", _ROLE[w] + (f" {int(m[1])}" if m[1] else "")
+    if m := _SHORT.match(text[start:end]):
+        return ("n", m[1]) if m[1] else ("l", m[2].lower())
     return None
 
 
@@ -128,32 +156,56 @@ def _like_name(name: str) -> bool:
     return bool(_NAME.match(name)) and all(p[0].isupper() for p in parts) and not (len(parts) == 1 and (len(name) < 3 or name.lower() in NO_LABEL))
 
 
-def _labels(text: str, low: str, cues: list[tuple[int, str]], times: list[tuple[int, int, float]]) -> list[_Label]:
-    """Labels in order. Context rules: where a label may stand, and what it may say."""
+#: The words of the longest label: a title and three names, and a mark before them.
+LABEL_WORDS = 5
+
+
+def _head(text: str, e: int, time_ends: dict) -> int:
+    """Where the words before a colon at e begin: behind the line's start, another colon or a time, or LABEL_WORDS back."""
+    i, words, inside = e, 0, False
+    while i > 0 and i not in time_ends and text[i - 1] not in "\n:":
+        blank = text[i - 1] in " \t"
+        words += inside and blank
+        if words > LABEL_WORDS:
+            break
+        inside = not blank
+        i -= 1
+    return i
+
+
+def _labels(text: str, low: str, cues: list[tuple[int, str]], times: list[tuple[int, int, float]], who: dict[int, list[str]]) -> list[_Label]:
+    """Labels in order. Context rules: where a label may stand, and what it may say. Every part of the text is looked at a
+    bounded number of times, whatever the number of labels or the length of a line."""
     time_ends = {}
     for a, b, t in times:
         e = b
         while e < len(text) and text[e] in " \t\n":
             e += 1
         time_ends[e] = (a, t)
+    begins, closers, lines = _Places([a for a, _, _ in times]), {c: _Places.of(text, c) for c in "]>"}, _Places.of(text, "\n")
+    openers = {c: _Places([at for at, x in cues if x == c]) for c in ("[", "<v ")}
+    time_of = {a: b for a, b, _ in times}
     out: list[_Label] = []
     size = len(text)
     for at, cue in cues:
-        if cue == "<v ":
-            end = text.find(">", at)
-            if 0 < end < at + 60:
-                out.append(_Label(at, end + 1, text[at + 3 : end].strip(), True))
-        elif cue == "[":
-            end = text.find("]", at)
-            name = text[at + 1 : end].strip() if 0 < end < at + 50 else ""
-            if not name or any(a <= at < b for a, b, _ in times) or _is_note(low, at):
+        if cue in openers:
+            end = closers["]" if cue == "[" else ">"].next(at)
+            if end >= min(size, lines.next(at), openers[cue].next(at + 1)):
+                continue  # it is not closed in its line
+            a = at + len(cue)
+            name, kind = text[a:end].strip(), _kind(text, a, end, who)
+            if cue == "<v ":
+                if name:
+                    out.append(_Label(at, end + 1, name, kind, True))
+                continue
+            if not name or (t := begins.last(at + 1)) >= 0 and at < time_of[t] or all(w in _NOTE_WORDS for w in low[a:end].split()):
                 continue
             head = _starts(text, at, time_ends)
-            if (k := _kind(name)) or head and _like_name(name):
+            if kind or head and _like_name(name):
                 e = end + 1
                 if text.startswith(":", e):
                     e += 1
-                out.append(_Label(at, e, name, bool(k) and (k[0] != "l" or head) or head))
+                out.append(_Label(at, e, name, kind, bool(kind) and (kind[0] != "l" or head) or head))
         elif cue == ":":
             if at + 1 < size and text[at - 1 : at].isdigit() and text[at + 1].isdigit():
                 continue  # a clock time
@@ -161,23 +213,26 @@ def _labels(text: str, low: str, cues: list[tuple[int, str]], times: list[tuple[
             e, t = at, None
             while e > 0 and text[e - 1] in " \t":
                 e -= 1
-            if e > 0 and text[e - 1] in ")]" and (m := re.search(r"[\[(]\s*([\d:.,]+)\s*[\])]$", text[max(0, e - 24) : e])) and re.fullmatch(_CLOCK + r"|\d+(?:\.\d+)?", m[1]):
-                e, t = max(0, e - 24) + m.start(), seconds(m[1])
-                while e > 0 and text[e - 1] in " \t":
-                    e -= 1
-            lo = max(text.rfind("\n", 0, e) + 1, e - 45)
-            for te in time_ends:
-                if lo < te <= e and (t is None or te < at):
-                    lo = te
-            name, start = text[lo:e], lo
-            lead = len(name) - len(name.lstrip(" \t->•*"))
-            name, start = name[lead:], start + lead
-            head = _starts(text, lo, time_ends)
-            if name and head and (_kind(name) or _like_name(name)):
-                out.append(_Label(start, at + 1, name, True, t))
-            elif m := re.search(r"(?:(?<=[.?!…\])>}♪*])|(?<=[.?!…\])>}♪*] ))((?:speaker|spkr|spk)[ _.-]*(?:\d+|[a-z])|s\d+)$", low[max(0, e - 45) : e]):
-                start = max(0, e - 45) + m.start(1)
-                out.append(_Label(start, at + 1, text[start:e], True, t))
+            if e > 0 and text[e - 1] in ")]":
+                i = e - 1
+                while i > 0 and (text[i - 1].isdigit() or text[i - 1] in ":., \t"):
+                    i -= 1
+                clock = text[i : e - 1].strip()
+                if i > 0 and text[i - 1] in "[(" and re.fullmatch(_CLOCK + r"|\d+(?:\.\d+)?", clock):
+                    e, t = i - 1, seconds(clock)
+                    while e > 0 and text[e - 1] in " \t":
+                        e -= 1
+            lo = _head(text, e, time_ends)
+            start = lo
+            while start < e and text[start] in " \t->•*":
+                start += 1
+            name = text[start:e]
+            kind = _kind(text, start, e, who)
+            if name and _starts(text, lo, time_ends) and (kind or _like_name(name)):
+                out.append(_Label(start, at + 1, name, kind, True, t))
+            elif m := _INLINE.search(low, max(0, lo - 2), e):
+                start = m.start(1)
+                out.append(_Label(start, at + 1, text[start:e], _kind(text, start, e, who), True, t))
     out.sort(key=lambda x: (x.start, -x.end))
     kept: list[_Label] = []
     for x in out:
@@ -186,6 +241,10 @@ def _labels(text: str, low: str, cues: list[tuple[int, str]], times: list[tuple[
     return kept
 
 
+#: A label inside a line, behind the end of a sentence or a mark.
+_INLINE = re.compile(r"(?:(?<=[.?!…\])>}♪*])|(?<=[.?!…\])>}♪*] ))((?:speaker|spkr|spk)[ _.-]*(?:\d+|[a-z])|s\d+)$")
+
+
 def _starts(text: str, at: int, time_ends: dict) -> bool:
     """Whether a label may begin at the position: at the start of a line, after a time or after quote marks."""
     i = at
@@ -196,55 +255,61 @@ def _starts(text: str, at: int, time_ends: dict) -> bool:
     return i == 0 or text[i - 1] == "\n" or i in time_ends or at in time_ends
 
 
-def _is_note(low: str, at: int) -> bool:
-    m = re.match(r"[\[(<{*♪]+\s*([\w ]+?)\s*[\])>}*♪]", low[at : at + 40])
-    return bool(m) and all(w in _NOTE_WORDS for w in m[1].split())
-
-
 _NOTE_WORDS = frozenset(ANNOTATIONS.split())
 
 
-def _speakers(names: list[str]) -> dict[str, tuple]:
-    """The speaker behind each spelling of a record."""
+def _speakers(labels: list[_Label]) -> dict[str, tuple]:
+    """The speaker behind each spelling of a record. Full names come first; then short forms join the first person they
+    fit. Persons are looked up by their initials, or by a whole part of their name."""
     out: dict[str, tuple] = {}
-    persons: list[dict] = []
     forms = []
-    for n in dict.fromkeys(names):
-        if k := _kind(n):
-            out[n] = k
+    for x in labels:
+        if x.name in out:
+            continue
+        if x.kind:
+            out[x.name] = x.kind
         else:
-            parts = [p.rstrip(".") for p in re.sub(r"^(?:dr|mr|mrs|ms|prof)\.?\s+", "", n.lower()).split()]
-            forms.append((n, parts))
-    # Full names first; then short forms join the person they fit.
-    def full(p: list[str]) -> bool:
-        return len(p) >= 2 and len(p[0]) > 1 and len(p[-1]) > 1
-
+            forms.append((x.name, [p.rstrip(".") for p in re.sub(r"^(?:dr|mr|mrs|ms|prof)\.?\s+", "", x.name.lower()).split()]))
+            out[x.name] = ("p", -1)
+    persons: list[list] = []  # given, family
+    exact: dict[tuple, int] = {}
+    initials: dict[tuple, list[int]] = {}
+    parts: dict[str, list[int]] = {}
+
+    def same(x: str | None, y: str | None) -> bool:
+        return x is None or y is None or (x == y if min(len(x), len(y)) > 1 else x[:1] == y[:1])
+
+    def enter(i: int) -> None:
+        g, f = persons[i]
+        exact.setdefault((g, f), i)
+        initials.setdefault((g[:1], f and f[:1]), []).append(i)
+        for p in {g, f} - {None}:
+            parts.setdefault(p, []).append(i)
+
+    full = lambda p: len(p) >= 2 and len(p[0]) > 1 and len(p[-1]) > 1
     for n, p in sorted(forms, key=lambda x: not full(x[1])):
         if not p:
-            out[n] = ("p", -1)
             continue
         g, f = (p[0], p[-1]) if len(p) > 1 else (p[0], None)
-
-        def fits(q: dict, g: str = g, f: str | None = f) -> bool:
-            def same(x: str | None, y: str | None) -> bool:
-                return x is None or y is None or (x == y if min(len(x), len(y)) > 1 else x[:1] == y[:1])
-
+        near = exact.get((g, f))
+        if near is None and not full(p):
             if f is None:
-                return g in (q["g"], q["f"])
-            return same(g, q["g"]) and same(f, q["f"])
-
-        exact = [i for i, q in enumerate(persons) if (q["g"], q["f"]) == (g, f)]
-        near = exact or [i for i, q in enumerate(persons) if not (full(p) and q["full"]) and fits(q)]
-        if near:
-            i = near[0]
-            q = persons[i]
-            if f is not None:  # the longer spelling of each part is kept
-                q["g"] = g if q["g"] is None or len(g) > len(q["g"]) else q["g"]
-                q["f"] = f if q["f"] is None or len(f) > len(q["f"]) else q["f"]
-        else:
-            i = len(persons)
-            persons.append({"g": g, "f": f, "full": full(p)})
-        out[n] = ("p", i)
+                fits = (i for i in parts.get(g, ()) if g in persons[i])
+            else:
+                fits = (i for k in ((g[:1], f[:1]), (g[:1], None)) for i in initials.get(k, ()) if same(g, persons[i][0]) and same(f, persons[i][1]))
+            near = min(fits, default=None)
+        if near is None:
+            near = len(persons)
+            persons.append([g, f])
+            enter(near)
+        elif f is not None:  # the longer spelling of each part is kept
+            q = persons[near]
+            before = list(q)
+            q[0] = g if len(g) > len(q[0]) else q[0]
+            q[1] = f if q[1] is None or len(f) > len(q[1]) else q[1]
+            if q != before:
+                enter(near)
+        out[n] = ("p", near)
     return out
 
 
@@ -252,11 +317,14 @@ def stretches(text: str, lang: str | None) -> list[tuple[float | None, str, str]
     """(time, speaker, clean words) of the labelled stretches as written; without words, they are left out."""
     low = _lower(text)
     cues, fillers, notes = [], [], []
+    who: dict[int, list[str]] = {}
     for end, (word, kinds) in automaton().iter(low):
         at = end + 1 - len(word)
         for kind, what in kinds:
             if kind == "cue":
                 cues.append((at, what))
+            elif kind == "who":
+                who.setdefault(at, []).append(what)
             elif kind == "filler":
                 fillers.append((at, end + 1, what))
             else:
@@ -267,16 +335,19 @@ def stretches(text: str, lang: str | None) -> list[tuple[float | None, str, str]
     for m in TIME.finditer(text):
         s = next(x for x in m.groups() if x is not None)
         times.append((m.start(), m.end(), seconds(s)))
-    labels = _labels(text, low, cues, times)
+    labels = _labels(text, low, cues, times, who)
     if not labels:
         return []
-    who = _speakers([x.name for x in labels])
+    speaker = _speakers(labels)
     cuts = [(a, b) for a, b, _ in times] + [(x.start, x.end) for x in labels] + [(a, a + 2) for a, c in cues if c == ">>"]
     for m in re.finditer(r"(?m)^[ \t]*\d+[ \t]*(?=\n[ \t]*\d{1,2}:\d\d)", text):
         cuts.append(m.span())
+    # An annotation goes to its closing mark, if no line, sentence or label ends or begins before that.
+    closing = {c: _Places.of(low, c) for c in {c for _, c in notes}}
+    stops = _Places(sorted([m.start() for m in re.finditer(r"\n|[.?!](?=\s)", low)] + [x.start for x in labels]))
     for at, close in notes:
-        end = low.find(close, at + 1)
-        if end > 0 and end - at < 48 and "\n\n" not in low[at:end]:
+        end = closing[close].next(at + 1)
+        if end < min(stops.next(at + 1), len(low)):
             cuts.append((at, end + len(close)))
     base = (lang or "").lower()[:2]
     spans: dict[tuple[int, int], set] = {}
@@ -292,21 +363,29 @@ def stretches(text: str, lang: str | None) -> list[tuple[float | None, str, str]
             e += 1
         (alone if base in what else cuts).append((a, e))
     cuts.sort()
+    alone.sort()
     out: list[tuple[float | None, str, str]] = []
     last: float | None = None
+    prev = k = c = 0
     for x, nxt in zip(labels, [*labels[1:], None], strict=True):
         end = nxt.start if nxt else len(text)
+        while k < len(times) and times[k][0] < x.start:
+            k += 1
         t = x.time
-        if t is None:
-            prev = labels[labels.index(x) - 1].end if x is not labels[0] else 0
-            before = [s for a, b, s in times if prev <= a < x.start and not text[b : x.start].strip(" \t\n>•-*")]
-            t = before[-1] if before else None
+        if t is None and k and times[k - 1][0] >= prev and not text[times[k - 1][1] : x.start].strip(" \t\n>•-*"):
+            t = times[k - 1][2]
+        prev = x.end
         last = t = last if t is None else t
-        parts = _subtract(x.end, end, cuts)
+        while c < len(cuts) and cuts[c][1] <= x.end and cuts[c][0] < x.end:
+            c += 1
+        d = c
+        while d < len(cuts) and cuts[d][0] < end:
+            d += 1
+        parts = _subtract(x.end, end, cuts[c:d])
         words = " ".join(" ".join(text[a:b] for a, b in parts).split())
-        rest = " ".join(" ".join(text[a:b] for p in parts for a, b in _subtract(*p, sorted(alone))).split())
+        rest = " ".join(" ".join(text[a:b] for p in parts for a, b in _subtract(*p, alone[bisect_left(alone, (p[0], 0)) : bisect_left(alone, (p[1], 0))])).split())
         if any(c.isalnum() for c in rest):  # an ambiguous word counts as a hesitation where nothing else stands
-            out.append((t, "/".join(map(str, who[x.name])), words.strip(" ,-")))
+            out.append((t, "/".join(map(str, speaker[x.name])), words.strip(" ,-")))
     return out
 
 
