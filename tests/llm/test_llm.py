@@ -250,3 +250,22 @@ def test_split_of_label_with_a_group_for_each_task(spark):
     assert len(got) == 2600
     count = Counter(got[g] for g in label if label[g] == "rare")
     assert sorted(count.values()) == [2, 2, 16]
+
+
+def test_overlap_of_a_phrase_in_many_texts(spark):
+    """A run of words that more than HOT texts of both sides share, with near pairs among them."""
+    from vocalith.llm import overlap
+
+    r = random.Random(9)
+    rows = [(f"t{k}", "thank you very much for the " + " ".join(r.choice("abcdefghijklmnop") * 3 + str(r.randrange(40)) for _ in range(5)), "train") for k in range(300)]
+    rows += [(f"e{k}", (t if k % 3 else t.replace("thank", "thanks")) + (" now" if k % 2 else ""), "dev") for k, (_, t, _) in enumerate(rows[:240])]
+    want = {(f"e{k}", f"t{k}") for k in range(240) if k % 3 or not k % 2}
+    got = {tuple(x) for x in cross_split_pairs(sup(spark, rows)).collect()}
+    assert got == want and len(rows) > overlap.HOT
+
+
+def test_turns_without_limits(spark):
+    name, other = "Bartholomew-Alexander Featherstonehaugh-Cholmondeley", "Ottoline Wigglesworth-Ramsbottom-Higginbotham-Smith"
+    text = f"{name}: hello [laughter from all over the very large and crowded room here] you\n{other}: um\n{other}: yes\n[{name}] bye"
+    got = sorted((r.turn_no, r.speaker_no, r.text) for r in speaker_turns(sup(spark, [("x", text, "train")])).collect())
+    assert got == [(1, 1, "hello you"), (2, 2, "yes"), (3, 1, "bye")]
