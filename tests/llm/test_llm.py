@@ -219,28 +219,62 @@ def test_checker():
     assert find("the baker saw a field") == []
 
 
-def test_personal_held_out(spark):
+FILLER = "the lively basket opens the quiet window near the harbor while eleven 42 Grey Kettle 7:30 boats".split()
+FORMS = ("My name is {n}.", "write to {e}!", "call me back on {p},", "{n} joined late.", "my passport number is {i}.", "this is {n} speaking;")
+
+
+def _letters(r, names):
+    """A text with entities put in, and where they are: labels that no pattern made."""
+    t, want = " ".join(r.choice(FILLER) for _ in range(12)) + ". ", set()
+    for form in r.sample(FORMS, 3):
+        k = form[form.index("{") + 1]
+        g, f = r.choice(names[0]), r.choice(names[1])
+        v = {"n": f"{g} {f}", "e": f"{g}.{f}@mail.example".lower(), "p": f"+44 20 7946 {r.randrange(1000, 9999)}", "i": f"XK{r.randrange(10**6, 10**7)}"}[k]
+        want.add(({"n": "name", "e": "email", "p": "phone", "i": "idnum"}[k], len(t) + form.index("{")))
+        t += form.replace("{" + k + "}", v) + " " + " ".join(r.choice(FILLER) for _ in range(r.randrange(4, 20))) + ". "
+    return t, want
+
+
+def test_personal_held_out(spark, monkeypatch):
+    """Fitted on some texts, scored on others whose names are neither listed nor in the fit."""
+    monkeypatch.setattr(pii, "STEPS", 160)
     r = random.Random(2)
-    given, family = ["Marit", "Corwin", "Hedda", "Tessa"], ["Baker", "Marlow", "Winter", "Kestrin"]
-    filler = "the lively basket opens the quiet window near the harbor".split()
-    docs, want = [], set()
-    for i in range(240):
-        t = " ".join(r.choice(filler) for _ in range(12)) + ". "
-        for k, form in enumerate(("My name is {n}.", "Write to {e}!", "call me back on {p},")):
-            if r.random() < 0.7:
-                g, f = r.choice(given), r.choice(family)
-                v = {"n": f"{g} {f}", "e": f"{g}.{f}@mail.example".lower(), "p": f"+44 20 7946 {r.randrange(1000, 9999)}"}["nep"[k]]
-                at = len(t) + form.index("{")
-                want.add((i, ("name", "email", "phone")[k], at))
-                t += form.replace("{" + "nep"[k] + "}", v) + " "
-        docs.append((i, t))
-    df = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id bigint, text string")
-    parts = spark.createDataFrame([(g, "given") for g in given] + [(f, "family") for f in family], "name_part string, part_kind string")
-    got = {(x.doc_id, x.kind, x.start_char) for x in pii.find_personal(df, parts).collect()}
-    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
-    fitted = {"model": tagger.new_model(pii.HIDDEN, 6), "given": set(), "family": set()}
-    masked = pii.mask_personal(df, parts, fitted).where("doc_id >= 900").collect()
-    assert {(x.doc_id, x.text) for x in masked} == {(900, None), (901, "")}
+    known = "Marit Corwin Hedda Tessa Odrin Florian Jolanta Verity Bastian Severin".split(), "Baker Marlow Winter Kestrin Thorncliff Vantrell Ostrander Pickersley Orsatti Nordhagen".split()
+    new = ["Isolde", "Bertrand", "Quillon", "Ysabel", "Anselm"], ["Trevanion", "Hollisworth", "Dravemont", "Pennick", "Oswin"]
+    parts = spark.createDataFrame([(g, "given") for g in known[0]] + [(f, "family") for f in known[1]], "name_part string, part_kind string")
+    train = spark.createDataFrame([(i, _letters(r, known)[0]) for i in range(400)], "doc_id bigint, text string")
+    fitted = pii.fit_on(train, parts)
+    held = [_letters(r, new if i % 2 else known) for i in range(200)]
+    rows = [(i, t) for i, (t, _) in enumerate(held)]
+    df = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "x" * 3000), (903, "nothing here")], "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
+    got = {(x.doc_id, x.kind, x.start_char) for x in pii.find_personal(df, parts, fitted).collect()}
+    want = {(i, k, a) for i, (_, w) in enumerate(held) for k, a in w}
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    unlisted = {x for x in want if x[0] % 2 and x[1] == "name"}
+    assert len(unlisted) > 80 and len(got & unlisted) >= 0.85 * len(unlisted)
+    masked = {x.doc_id: (x.text, x.n_masked) for x in pii.mask_personal(df, parts, fitted).where("doc_id >= 900").collect()}
+    assert masked == {900: (None, 0), 901: ("", 0), 902: ("x" * 3000, 0), 903: ("nothing here", 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_nothing_without_a_tagger(seed):
+    """A tagger that has learned nothing finds nothing, whatever the patterns know."""
+    r = random.Random(seed)
+    known = ["Marit", "Corwin"], ["Baker", "Winter"]
+    texts, want = zip(*[_letters(r, known) for _ in range(40)], strict=True)
+    fitted = {"model": tagger.new_model(pii.HIDDEN, 6, seed), "given": {x.lower() for x in known[0]}, "family": {x.lower() for x in known[1]}}
+    got = {(i, k, a) for i, spans in enumerate(pii.detect(fitted, list(texts))) for a, _, k in spans}
+    true = {(i, *x) for i, w in enumerate(want) for x in w}
+    assert len(got & true) <= 0.1 * len(true)
+
+
+def test_long_entities_are_whole():
+    check, s = pii.Checker(set(), set()), "write to " + "very.long." * 12 + "name@" + "sub." * 15 + "example now"
+    tags = np.zeros(len(s), dtype=np.int8)
+    tags[40:120] = pii.TAG["email"]
+    assert [s[a:b] for a, b, _ in pii.settle(s, tags, check, {})] == [s[9:-4]]
+    assert pii.settle(s, np.zeros(len(s), dtype=np.int8), check, {}) == []
+
 
 
 def test_split_of_label_with_a_group_for_each_task(spark):

@@ -1,4 +1,4 @@
-"""Personal information inside free text (problem 10)."""
+"""Personal information inside free text (problem 10): a character tagger finds the spans, patterns settle their ends."""
 
 from __future__ import annotations
 
@@ -18,13 +18,12 @@ from vocalith.llm.encode import _pieces
 KINDS = ("email", "phone", "idnum", "address", "name")
 TAG = {k: i + 1 for i, k in enumerate(KINDS)}
 #: Documents that the tagger is fitted on, at most, and the windows taken from them.
-FIT_DOCUMENTS, FIT_WINDOWS = 3000, 3200
-HIDDEN, EPOCHS = 16, 4
+FIT_DOCUMENTS, FIT_WINDOWS = 3000, 9000
+#: Cells of each direction, characters of a window for fitting, and steps.
+HIDDEN, FIT_SIZE, STEPS = 24, 96, 450
 WINDOW, STRIDE = 256, 224
-#: Steps of fitting at least, for small samples.
-MIN_STEPS = 190
-#: Taken from the score of "outside" when decoding, so that doubtful spans reach the exact check.
-CAUTION = 2.0
+#: Taken from the score of "outside" when decoding.
+CAUTION = 0.5
 
 # Words of numbers, of streets and of directions.
 DIGIT = "zero oh one two three four five six seven eight nine".split()
@@ -248,17 +247,38 @@ def _new_name(r: random.Random) -> str:
     return "".join(r.choice(syl) for _ in range(r.choice((2, 2, 3)))).capitalize()
 
 
+_LETTERS = re.compile(r"[A-Za-zÀ-ɏͰ-ԯ]+(?:['’-][A-Za-zÀ-ɏͰ-ԯ]+)*")
+
+
+def _inputs(s: str, flags: dict[str, int]) -> np.ndarray:
+    """The tagger's inputs: the class of each character, and whether its word is a listed name part."""
+    x = tagger.char_classes(s).astype(np.int16)
+    for m in _LETTERS.finditer(s):
+        if k := flags.get(m[0].lower()):
+            x[m.start() : m.end()] += k * tagger.V
+    return x
+
+
+#: What may be taken for an entity: digits, signs of mail, two words with capitals.
+_HARD = re.compile(r"[\d@(\[]|[A-ZÀ-Þ]\w+ [A-ZÀ-Þ]\w+")
+
+
+def _flags(given: set[str], family: set[str]) -> dict[str, int]:
+    return {w: (w in given) + 2 * (w in family) for w in given | family}
+
+
 def fit(texts: list[str], given: set[str], family: set[str]) -> dict:
-    """Name parts and tagger from a bounded sample of texts, whose spans the exact check labels.
+    """Tagger and name parts, from a bounded sample of texts.
 
-    Every third name is replaced by an invented one of the same form, so that the tagger learns the places of names
-    and not only the list. As many windows without any span as with one are taken.
+    The labels of the sample are made by patterns and by the given list with what ``learn_parts`` adds to it from the
+    sample; only the list itself goes into the tagger's input. Every third name is replaced by an invented one of the same
+    form, so that the tagger learns the places of names and not only the list. As many windows without any span as half of
+    those with one are taken, those with digits, signs of mail or capitals first.
     """
     r = random.Random(11)
-    given, family = learn_parts(texts, given, family)
-    check = Checker(given, family)
+    check = Checker(*learn_parts(texts, given, family))
+    flags = _flags(given, family)
     pos, neg = [], []
-    size = 128
     for t in texts:
         s, _ = view(t)
         spans = check.find(s)
@@ -279,27 +299,28 @@ def fit(texts: list[str], given: set[str], family: set[str]) -> dict:
         y = np.zeros(len(s), dtype=np.int64)
         for a, b, k in spans:
             y[a:b] = TAG[k]
-        x = tagger.char_classes(s).astype(np.int64)
-        for at in range(0, max(1, len(s)), size):
-            wx, wy = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-            part = x[at : at + size]
-            wx[: len(part)], wy[: len(part)] = part, y[at : at + size]
-            (pos if wy.any() else neg).append((wx, wy))
+        x = _inputs(s, flags).astype(np.int64)
+        for at in range(0, max(1, len(s)), FIT_SIZE // 2):
+            wx, wy = np.zeros(FIT_SIZE, dtype=np.int64), np.zeros(FIT_SIZE, dtype=np.int64)
+            part = x[at : at + FIT_SIZE]
+            wx[: len(part)], wy[: len(part)] = part, y[at : at + FIT_SIZE]
+            hard = bool(_HARD.search(s[at : at + FIT_SIZE]))
+            (pos if wy.any() else neg).append((wx, wy, not hard, r.random()))
+    for x in (pos, neg):
+        x.sort(key=lambda w: w[2:])
     r.shuffle(pos)
-    r.shuffle(neg)
     take = pos[: FIT_WINDOWS * 2 // 3]
     take += neg[: max(64, len(take) // 2)]
-    epochs = max(EPOCHS, -(-MIN_STEPS * 64 // max(1, len(take))))
     if not pos:
         model = tagger.new_model(HIDDEN, len(KINDS) + 1)
     else:
-        model = tagger.fit(np.stack([a for a, _ in take]), np.stack([b for _, b in take]), len(KINDS) + 1, HIDDEN, epochs)
+        model = tagger.fit(np.stack([w[0] for w in take]), np.stack([w[1] for w in take]), len(KINDS) + 1, HIDDEN, STEPS)
     return {"model": model, "given": given, "family": family}
 
 
-def tag_texts(model: dict, texts: list[str], caution: float = CAUTION) -> list[np.ndarray]:
+def tag_texts(model: dict, texts: list[str], flags: dict[str, int], caution: float = CAUTION) -> list[np.ndarray]:
     """The tag of each character. Windows overlap; a character takes its tag from the window where it is furthest from an edge."""
-    classes = [tagger.char_classes(t) for t in texts]
+    classes = [_inputs(t, flags) for t in texts]
     where, rows = [], []
     for i, c in enumerate(classes):
         at = 0
@@ -325,41 +346,109 @@ def tag_texts(model: dict, texts: list[str], caution: float = CAUTION) -> list[n
     return out
 
 
-def _line_bounds(s: str, a: int, b: int, far: int = 54) -> tuple[int, int]:
-    return max(0, a - far), min(len(s), b + far // 3)
+def _runs(tags: np.ndarray) -> list[tuple[int, int, str]]:
+    """The spans that the tagger found: maximal runs of one kind."""
+    cut = np.flatnonzero(np.diff(np.concatenate([[0], tags, [0]])))
+    return [(a, b, KINDS[tags[a] - 1]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if tags[a]]
+
+
+def _whole_words(s: str, a: int, b: int) -> tuple[int, int]:
+    """A span without blanks and signs at its ends, and with the words whole that it covers by half."""
+    while a < b and not s[a].isalnum():
+        a += 1
+    while b > a and not s[b - 1].isalnum():
+        b -= 1
+    for m in _LETTERS.finditer(s, max(0, a - 40), min(len(s), b + 40)):
+        x, y = m.span()
+        if x < a < y:
+            a = x if 2 * (y - a) >= y - x else y
+        if x < b < y:
+            b = y if 2 * (b - x) >= y - x else x
+    return a, b
+
+
+_SPOKEN_SIGN = re.compile(r"\s(?:at|dot)\s", re.I)
+_NUMBERS = re.compile(r"\b(?:" + "|".join(DIGIT) + r")\b", re.I)
+
+
+_WORD_BEFORE = re.compile(r"[^\W\d_][\w'’-]*[.,]?[ \xa0]$")
+_WORD_AFTER = re.compile(r",?[ \xa0][^\W\d_][\w'’-]*")
+
+
+def well_formed(x: str, kind: str, flags: dict[str, int]) -> bool:
+    """Whether a span of the tagger that no pattern knows can be an entity of its kind at all."""
+    if "\n" in x:
+        return False
+    digits = sum(c.isdigit() for c in x)
+    if kind == "name":
+        parts = [w for w in re.split(r"[\s,]+", x) if w]
+        if not 2 <= len(parts) <= 4 or digits or not all(w.rstrip(".").replace("-", "").replace("'", "").replace("’", "").isalpha() for w in parts):
+            return False
+        long = [w for w in parts if len(w.rstrip(".")) > 1]
+        return len(long) > 0 and all(w[0].isupper() and w.lower() not in _COMMON for w in long) and (len(long) > 1 or parts[0].endswith("."))
+    if kind == "email":
+        return ("@" in x and "." in x.partition("@")[2]) or len(_SPOKEN_SIGN.findall(x)) > 1
+    if kind == "phone":
+        return 7 <= digits <= 15 or len(_NUMBERS.findall(x)) >= 6
+    if kind == "idnum":
+        return 6 <= digits <= 16
+    return 0 < digits < 7 and sum(c.isalpha() for c in x) > 3
+
+
+def settle(s: str, tags: np.ndarray, check: Checker, flags: dict[str, int]) -> list[tuple[int, int, str]]:
+    """The entities of a text from the tags of its characters.
+
+    Every entity is a run of the tagger. Where a pattern finds an entity too, the pattern says where it begins and ends and
+    which kind it is, if at least two fifths of it are in runs and at least half of a run is in such entities. Otherwise
+    the run itself counts, brought to whole words, if it is well formed. The patterns read whole lines with a run, and the
+    lines next to them; what they find elsewhere is nothing.
+    """
+    runs = _runs(tags)
+    if not runs:
+        return []
+    lines = np.flatnonzero(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 10)
+    areas: list[list[int]] = []
+    for a, b, _ in runs:
+        i, j = int(np.searchsorted(lines, a)), int(np.searchsorted(lines, b))
+        lo, hi = (int(lines[i - 2]) + 1 if i > 1 else 0), (int(lines[j + 1]) if j + 1 < len(lines) else len(s))
+        if areas and lo <= areas[-1][1]:
+            areas[-1][1] = max(hi, areas[-1][1])
+        else:
+            areas.append([lo, hi])
+    # A name of which one part was found may have its other part in the next word.
+    near = tags == TAG["name"]
+    for a, b, k in runs:
+        if k == "name":
+            before, after = _WORD_BEFORE.search(s, max(0, a - 40), a), _WORD_AFTER.match(s, b)
+            near[before.start() if before else a : after.end() if after else b] = True
+    known = [(a + lo, b + lo, k) for lo, hi in areas for a, b, k in check.find(s[lo:hi], near[lo:hi])]
+    covered = np.zeros(len(s), dtype=bool)
+    for a, b, _ in known:
+        covered[a:b] = True
+    hot = tags > 0
+    sure = [(a, b, k) for a, b, k in known if 5 * int(hot[a:b].sum()) >= 2 * (b - a)]
+    out = set()
+    for a, b, k in runs:
+        if 2 * int(covered[a:b].sum()) >= b - a:
+            out.update(x for x in sure if x[0] < b and x[1] > a)
+        else:
+            x, y = _whole_words(s, a, b)
+            # Taken for another kind, two words with capitals are still a name.
+            if x < y and not covered[x:y].any() and (k := next((q for q in (k, "name") if well_formed(s[x:y], q, flags)), None)):
+                out.add((x, y, k))
+    return sorted(out)
 
 
 def detect(fitted: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """(start, end, kind) in code points of each text: spans of the tagger, confirmed and trimmed by the exact check."""
-    check = Checker(fitted["given"], fitted["family"])
+    """(start, end, kind) in code points of each text."""
+    check, flags = Checker(fitted["given"], fitted["family"]), _flags(fitted["given"], fitted["family"])
     views = [view(t or "") for t in texts]
     out = []
-    for (s, at), tags in zip(views, tag_texts(fitted["model"], [v for v, _ in views]), strict=True):
-        hot = np.flatnonzero(tags)
-        found: dict[tuple[int, int], str] = {}
-        if len(hot):
-            cut = np.flatnonzero(np.diff(hot) > 1)
-            starts, ends = hot[np.append(0, cut + 1)], hot[np.append(cut, len(hot) - 1)] + 1
-            areas: list[list[int]] = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                lo, hi = _line_bounds(s, a, b)
-                if areas and lo <= areas[-1][1]:
-                    areas[-1][1] = max(hi, areas[-1][1])
-                else:
-                    areas.append([lo, hi])
-            is_name = tags == TAG["name"]
-            for lo, hi in areas:
-                while lo > 0 and not s[lo - 1].isspace():
-                    lo -= 1
-                while hi < len(s) and not s[hi].isspace():
-                    hi += 1
-                for a, b, k in check.find(s[lo:hi], is_name[lo:hi]):
-                    a, b = a + lo, b + lo
-                    if tags[a:b].any():
-                        found[(a, b)] = k
+    for (s, at), tags in zip(views, tag_texts(fitted["model"], [v for v, _ in views], flags), strict=True):
+        found = settle(s, tags, check, flags)
         if at is not None:
-            found = {(at[a], at[b - 1] + 1): k for (a, b), k in found.items()}
-        out.append(sorted((a, b, k) for (a, b), k in found.items()))
+            found = sorted((at[a], at[b - 1] + 1, k) for a, b, k in found)
+        out.append(found)
     return out
 
 

@@ -9,6 +9,9 @@ KNOWN = "".join(map(chr, range(32, 127))) + "\näöüßéèêáíóúñçàâ"
 _CLASS = {c: i + 1 for i, c in enumerate(KNOWN)}
 _KINDS = len(KNOWN) + 1
 V = _KINDS + 6
+#: Each character also says whether its word is a listed given name, a listed family name, or both. An input is the class
+#: of the character plus V times this.
+FLAGS = 4
 
 
 def _kind(c: str) -> int:
@@ -37,7 +40,7 @@ def new_model(hidden: int, tags: int, seed: int = 7) -> dict[str, np.ndarray]:
     x = f(2, V, 4 * hidden, scale=0.3)
     x[:, :, hidden : 2 * hidden] += 1.0  # the forget gates start open
     return {
-        "x": x, "h": f(2, hidden, 4 * hidden, scale=1 / np.sqrt(hidden)), "o": f(2, hidden, tags, scale=0.3),
+        "x": x, "w": f(2, FLAGS, 4 * hidden, scale=0.3), "h": f(2, hidden, 4 * hidden, scale=1 / np.sqrt(hidden)), "o": f(2, hidden, tags, scale=0.3),
         "b": np.zeros(tags, dtype=np.float32), "t": np.zeros((tags, tags), dtype=np.float32),
     }
 
@@ -49,6 +52,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(z, out=z)
 
 
+def _inputs(m: dict) -> np.ndarray:
+    """What each input adds to the gates, (2, V * FLAGS, 4 hidden)."""
+    return (m["w"][:, :, None, :] + m["x"][:, None, :, :]).reshape(2, FLAGS * V, -1)
+
+
 def _steps(m: dict, idx: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple | None]:
     """Emissions (T, B, K) of the windows ``idx`` (B, T); the gates too if ``keep``."""
     size, length = idx.shape
@@ -57,13 +65,15 @@ def _steps(m: dict, idx: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple | No
     h = np.zeros((2, size, hid), dtype=np.float32)
     c = np.zeros_like(h)
     em = np.tile(m["b"], (length, size, 1))
+    table = _inputs(m)
     if keep:
-        gates = np.empty((length, 2, size, 4 * hid), dtype=np.float32)
-        cells, hs = np.empty((length, 2, size, hid), dtype=np.float32), np.empty((length, 2, size, hid), dtype=np.float32)
+        kind = m["h"].dtype
+        gates = np.empty((length, 2, size, 4 * hid), dtype=kind)
+        cells, hs = np.empty((length, 2, size, hid), dtype=kind), np.empty((length, 2, size, hid), dtype=kind)
     for t in range(length):
         z = np.matmul(h, m["h"])
-        z[0] += m["x"][0][flow[t, 0]]
-        z[1] += m["x"][1][flow[t, 1]]
+        z[0] += table[0][flow[t, 0]]
+        z[1] += table[1][flow[t, 1]]
         g = np.tanh(z[:, :, 3 * hid :])
         s = _sigmoid(np.clip(z[:, :, : 3 * hid], -30, 30))
         c = s[:, :, hid : 2 * hid] * c + s[:, :, :hid] * g
@@ -76,35 +86,34 @@ def _steps(m: dict, idx: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple | No
 
 
 def _crf(em: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss per character, gradient of the emissions, of the transitions)."""
+    """(loss per character, gradient of the emissions, of the transitions); forward and backward sums are scaled in each step."""
     length, size, k = em.shape
-    a = np.empty_like(em)
-    a[0] = em[0]
-    for t in range(1, length):
-        z = a[t - 1][:, :, None] + trans
-        top = z.max(axis=1)
-        a[t] = em[t] + top + np.log(np.exp(z - top[:, None, :]).sum(axis=1))
-    top = a[-1].max(axis=1)
-    logz = top + np.log(np.exp(a[-1] - top[:, None]).sum(axis=1))
-    b = np.zeros_like(em[0])
-    d_em, d_tr = np.empty_like(em), np.zeros_like(trans)
-    d_em[-1] = np.exp(a[-1] - logz[:, None])
-    for t in range(length - 1, 0, -1):
-        nxt = em[t] + b
-        pair = np.exp(a[t - 1][:, :, None] + trans + nxt[:, None, :] - logz[:, None, None])
-        d_tr += pair.sum(axis=0)
-        z = trans + nxt[:, None, :]
-        top = z.max(axis=2)
-        b = top + np.log(np.exp(z - top[:, :, None]).sum(axis=2))
-        d_em[t - 1] = np.exp(a[t - 1] + b - logz[:, None])
-    rows = np.arange(size)
-    gold = sum(em[t, rows, y[:, t]] for t in range(length)) + sum(trans[y[:, t - 1], y[:, t]] for t in range(1, length))
+    top = em.max(axis=2, keepdims=True)
+    e, tr = np.exp(em - top), np.exp(trans)
+    a, b = np.empty_like(e), np.empty_like(e)
+    scale = np.empty((length, size, 1), dtype=e.dtype)
+    a[0] = e[0]
     for t in range(length):
-        d_em[t, rows, y[:, t]] -= 1
-    for t in range(1, length):
-        np.add.at(d_tr, (y[:, t - 1], y[:, t]), -1)
+        if t:
+            np.matmul(a[t - 1], tr, out=a[t])
+            a[t] *= e[t]
+        np.sum(a[t], axis=1, keepdims=True, out=scale[t])
+        a[t] /= scale[t]
+    b[-1] = 1
+    for t in range(length - 1, 0, -1):
+        e[t] *= b[t]
+        e[t] /= scale[t]
+        np.matmul(e[t], tr.T, out=b[t - 1])
+    d_em = a * b
+    d_tr = tr * (a[:-1].reshape(-1, k).T @ e[1:].reshape(-1, k))
+    yt = np.ascontiguousarray(y.T)
+    pairs = yt[:-1] * k + yt[1:]
+    d_tr -= np.bincount(pairs.reshape(-1), minlength=k * k).reshape(k, k)
+    at = (np.arange(length)[:, None], np.arange(size)[None, :], yt)
+    gold = em[at].sum() + trans.reshape(-1)[pairs].sum()
+    d_em[at] -= 1
     n = length * size
-    return float((logz - gold).sum()) / n, d_em / n, d_tr / n
+    return float(np.log(scale).sum() + top.sum() - gold) / n, d_em / n, d_tr / n
 
 
 def _gradients(m: dict, idx: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -113,53 +122,57 @@ def _gradients(m: dict, idx: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     length, _, size, hid = cells.shape
     g = {k: np.zeros_like(v) for k, v in m.items()}
     g["t"], g["b"] = d_tr, d_em.sum(axis=(0, 1))
-    dh, dc = np.zeros((2, size, hid), dtype=np.float32), np.zeros((2, size, hid), dtype=np.float32)
+    de = np.stack([d_em, d_em[::-1]], axis=1)  # (T, 2, B, K)
+    from_out = np.matmul(de, m["o"].transpose(0, 2, 1))
+    back = np.ascontiguousarray(m["h"].transpose(0, 2, 1))
+    dh, dc = np.zeros((2, size, hid), dtype=cells.dtype), np.zeros((2, size, hid), dtype=cells.dtype)
+    squashed = np.tanh(cells)
     dz_all = np.empty_like(gates)
     for t in range(length - 1, -1, -1):
-        de = np.stack([d_em[t], d_em[length - 1 - t]])
-        dh = dh + np.matmul(de, m["o"].transpose(0, 2, 1))
-        g["o"] += np.matmul(hs[t].transpose(0, 2, 1), de)
+        dh += from_out[t]
         i, f, o, gg = (gates[t, :, :, k * hid : (k + 1) * hid] for k in range(4))
-        tc = np.tanh(cells[t])
-        dc = dc + dh * o * (1 - tc * tc)
-        before = cells[t - 1] if t else np.zeros_like(cells[0])
+        tc = squashed[t]
+        dc += dh * o * (1 - tc * tc)
         dz = dz_all[t]
-        dz[:, :, :hid] = dc * gg * i * (1 - i)
-        dz[:, :, hid : 2 * hid] = dc * before * f * (1 - f)
-        dz[:, :, 2 * hid : 3 * hid] = dh * tc * o * (1 - o)
-        dz[:, :, 3 * hid :] = dc * i * (1 - gg * gg)
-        if t:
-            g["h"] += np.matmul(hs[t - 1].transpose(0, 2, 1), dz)
-        dh = np.matmul(dz, m["h"].transpose(0, 2, 1))
-        dc = dc * f
+        np.multiply(dc, gg, out=dz[:, :, :hid])
+        np.multiply(dc, cells[t - 1] if t else 0.0, out=dz[:, :, hid : 2 * hid])
+        np.multiply(dh, tc, out=dz[:, :, 2 * hid : 3 * hid])
+        s = gates[t, :, :, : 3 * hid]
+        dz[:, :, : 3 * hid] *= s * (1 - s)
+        np.multiply(dc * i, 1 - gg * gg, out=dz[:, :, 3 * hid :])
+        np.matmul(dz, back, out=dh)
+        dc *= f
     for d in range(2):
-        hot = np.zeros((V, length * size), dtype=np.float32)
+        g["o"][d] = hs[:, d].reshape(-1, hid).T @ de[:, d].reshape(length * size, -1)
+        g["h"][d] = hs[:-1, d].reshape(-1, hid).T @ dz_all[1:, d].reshape(-1, 4 * hid)
         flat = flow[:, d].reshape(-1)
-        hot[flat, np.arange(len(flat))] = 1
-        g["x"][d] = hot @ dz_all[:, d].reshape(len(flat), -1)
+        dz = dz_all[:, d].reshape(len(flat), -1)
+        for name, which, many in (("x", flat % V, V), ("w", flat // V, FLAGS)):
+            hot = np.zeros((many, len(flat)), dtype=np.float32)
+            hot[which, np.arange(len(flat))] = 1
+            g[name][d] = hot @ dz
     return loss, g
 
 
-def fit(windows: np.ndarray, tags: np.ndarray, k: int, hidden: int, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 7) -> dict:
+def fit(windows: np.ndarray, tags: np.ndarray, k: int, hidden: int, steps: int, batch: int = 256, rate: float = 0.03, seed: int = 7) -> dict:
     """Adam on the CRF likelihood of windows (n, T) with tags (n, T); deterministic for given inputs."""
     m = new_model(hidden, k, seed)
     r = np.random.default_rng(seed)
     first = {n: np.zeros_like(v) for n, v in m.items()}
     second = {n: np.zeros_like(v) for n, v in m.items()}
-    step, rounds = 0, max(1, epochs * (len(windows) // batch or 1))
-    for _ in range(epochs):
-        order = r.permutation(len(windows))
-        for at in range(0, len(order), batch):
-            b = order[at : at + batch]
-            _, g = _gradients(m, windows[b], tags[b])
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            step += 1
-            lr = rate * min(1.0, step / 20) * max(0.05, 1 - step / (rounds * 1.05))
-            for n, v in g.items():
-                v = v * min(1.0, 1.0 / (norm + 1e-8))
-                first[n] = 0.9 * first[n] + 0.1 * v
-                second[n] = 0.99 * second[n] + 0.01 * v * v
-                m[n] = (m[n] - lr * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    order: np.ndarray = np.zeros(0, dtype=np.int64)
+    for step in range(1, steps + 1):
+        while len(order) < min(batch, len(windows)):
+            order = np.concatenate([order, r.permutation(len(windows))])
+        b, order = order[:batch], order[batch:]
+        _, g = _gradients(m, windows[b], tags[b])
+        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        lr = rate * min(1.0, step / 20) * max(0.02, 1 - step / (steps * 1.02))
+        for n, v in g.items():
+            v = v * min(1.0, 1.0 / (norm + 1e-8))
+            first[n] = 0.9 * first[n] + 0.1 * v
+            second[n] = 0.99 * second[n] + 0.01 * v * v
+            m[n] = (m[n] - lr * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return m
 
 
@@ -169,7 +182,7 @@ def _emissions(m: dict, idx: np.ndarray) -> np.ndarray:
     hid = m["h"].shape[1]
     half = np.ones(4 * hid, dtype=np.float32)
     half[: 3 * hid] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-    wx, wh = m["x"] * half, m["h"] * half
+    wx, wh = _inputs(m) * half, m["h"] * half
     flow = np.ascontiguousarray(np.stack([idx.T, idx.T[::-1]], axis=1))
     h = np.zeros((2, size, hid), dtype=np.float32)
     c, tmp = np.zeros_like(h), np.empty_like(h)
