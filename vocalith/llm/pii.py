@@ -17,8 +17,8 @@ from vocalith.llm.encode import _pieces
 
 KINDS = ("email", "phone", "idnum", "address", "name")
 TAG = {k: i + 1 for i, k in enumerate(KINDS)}
-#: Documents that the tagger is fitted on, at most, and the windows taken from them.
-FIT_DOCUMENTS, FIT_WINDOWS = 3000, 9000
+#: Pieces of documents that the tagger is fitted on, at most, their characters, and the windows taken from them.
+FIT_DOCUMENTS, PIECE, FIT_WINDOWS = 3000, 2000, 9000
 #: Cells of each direction, characters of a window for fitting, and steps.
 HIDDEN, FIT_SIZE, STEPS = 24, 96, 450
 WINDOW, STRIDE = 256, 224
@@ -398,9 +398,9 @@ def well_formed(x: str, kind: str, flags: dict[str, int]) -> bool:
 def settle(s: str, tags: np.ndarray, check: Checker, flags: dict[str, int]) -> list[tuple[int, int, str]]:
     """The entities of a text from the tags of its characters.
 
-    Every entity is a run of the tagger. Where a pattern finds an entity too, the pattern says where it begins and ends and
-    which kind it is, if at least two fifths of it are in runs and at least half of a run is in such entities. Otherwise
-    the run itself counts, brought to whole words, if it is well formed. The patterns read whole lines with a run, and the
+    Every entity is a run of the tagger. Where a pattern finds an entity of that kind too, the pattern says where it begins and
+    ends, and which of the two numbers it is, phone or identity, if at least two fifths of it are in that run and at
+    least half of the run is in such entities. Where there are none, the run itself counts, brought to whole words, if it is well formed. The patterns read whole lines with a run, and the
     lines next to them; what they find elsewhere is nothing.
     """
     runs = _runs(tags)
@@ -425,12 +425,10 @@ def settle(s: str, tags: np.ndarray, check: Checker, flags: dict[str, int]) -> l
     covered = np.zeros(len(s), dtype=bool)
     for a, b, _ in known:
         covered[a:b] = True
-    hot = tags > 0
-    sure = [(a, b, k) for a, b, k in known if 5 * int(hot[a:b].sum()) >= 2 * (b - a)]
     out = set()
     for a, b, k in runs:
         if 2 * int(covered[a:b].sum()) >= b - a:
-            out.update(x for x in sure if x[0] < b and x[1] > a)
+            out.update(x for x in known if 5 * (min(b, x[1]) - max(a, x[0])) >= 2 * (x[1] - x[0]) and (x[2] == k or {k, x[2]} == {"phone", "idnum"}))
         else:
             x, y = _whole_words(s, a, b)
             # Taken for another kind, two words with capitals are still a name.
@@ -453,12 +451,16 @@ def detect(fitted: dict, texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 
 def fit_on(docs: DataFrame, name_parts: DataFrame, documents: int = FIT_DOCUMENTS) -> dict:
-    """The fitted tagger and name parts, from at most ``documents`` documents chosen by the hash of their ids."""
-    n = docs.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20) < min(1.0, 1.3 * documents / max(1, n))
-    some = docs.where("doc_id is not null and length(text) > 0").where(share).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    """The fitted tagger and the listed name parts. The sample is of at most ``documents`` pieces of at most PIECE characters,
+    chosen by hash, so what the driver gets is bounded in bytes too. Only fitting uses the sample."""
+    d = docs.where("doc_id is not null and length(text) > 0")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.substring("text", i * PIECE + 1, F.lit(PIECE)))
+    d = d.select("doc_id", F.posexplode(pieces).alias("i", "text")).withColumn("h", F.xxhash64("doc_id", "i"))
+    n = d.agg(F.count("*")).first()[0]
+    share = F.pmod("h", F.lit(1 << 20)) / (1 << 20) < min(1.0, 1.3 * documents / max(1, n))
+    some = d.where(share).orderBy("h", "doc_id", "i").limit(documents)
     parts = {k: {r["name_part"].lower() for r in name_parts.where(F.col("part_kind") == k).where("name_part is not null").collect()} for k in ("given", "family")}
-    return fit([r["text"] for r in some.collect()], parts["given"], parts["family"])
+    return fit([r["text"] for r in some.select("text").collect()], parts["given"], parts["family"])
 
 
 def find_personal(docs: DataFrame, name_parts: DataFrame, fitted: dict | None = None) -> DataFrame:

@@ -46,7 +46,12 @@ def p2_found(spark, sf_dir):
 
 
 def p2_terms(spark, sf_dir):
-    return marked_terms(table(spark, sf_dir, "supervisions"))
+    return marked_terms(table(spark, sf_dir, "supervisions")).drop("n")
+
+
+def p2_ngrams(spark, sf_dir):
+    """Runs of up to three terms."""
+    return marked_terms(table(spark, sf_dir, "supervisions"), max_n=3)
 
 
 def p3_found(spark, sf_dir):
@@ -96,5 +101,5 @@ def p10_masked(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_terms, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)
+    for f in (p1_found, p1_turns, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)
 }

@@ -11,6 +11,15 @@ select term, occurrences, records,
   case when records <= 2 then 'rare' when records > 0.05 * total then 'common' end as mark from c, n
 """
 
+_NGRAMS = f"""
+with once as ({_SUP}),
+l as (select id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}'']+') as w from once where text is not null),
+g as (select id, cast(n as integer) as n, array_to_string(w[i:i + n - 1], ' ') as term from (select id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from l, range(1, 4) t(n) where len(w) >= n)),
+c as (select n, term, count(*) as occurrences, count(distinct id) as records from g group by n, term),
+a as (select count(*) as total from once where text is not null)
+select n, term, occurrences, records, case when records <= 2 then 'rare' when records > 0.05 * total then 'common' end as mark from c, a
+"""
+
 _GROUPS = """
 with recursive s as (
   select distinct utt_id, regexp_replace(lower(spk_id), '[^\\p{L}\\p{Nd}]+', '', 'g') as f from utt2spk where utt_id is not null),
@@ -42,6 +51,7 @@ g as (
 SQL: dict[str, str] = {
     "p2_found": f"select term, mark from ({_TERMS}) where mark is not null",
     "p2_terms": _TERMS,
+    "p2_ngrams": _NGRAMS,
     "p3_found": _GROUPS,
     "p7_found": _RUNS + "select utt_id, start_frame, end_frame, n_spans from g where n_spans >= 2",
     "p7_events": _RUNS + "select * from g",

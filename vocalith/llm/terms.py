@@ -20,38 +20,57 @@ BLOCK = 20_000
 RARE, COMMON = 2, 0.05
 
 
-def suffix_counts(tokens: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(n, a start of each distinct n-gram, occurrences, records) from the suffix array of a block of records.
+def suffix_array(tokens: np.ndarray, record: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffixes in order, common prefix of each with the one before, tokens left of each) of a block of records.
 
-    ``tokens`` are the codes of all records one after the other, ``record`` the ascending record numbers. The suffixes
-    are sorted by one more token in each round; equal ranks after round n are the intervals of common prefix n. In an
-    interval suffixes stay in text order, so within-record duplicates are adjacent and are subtracted.
+    Ranks are doubled until they cover ``depth`` tokens; behind a record's end there is a token smaller than all others, so
+    no prefix goes on into the next record. Common prefixes count ``depth`` tokens at most; suffixes equal so far stay in
+    the order of the text.
     """
     size = len(tokens)
+    ends = np.searchsorted(record, record, side="right")
+    left = ends - np.arange(size)
     rank = tokens.astype(np.int64)
-    alive = np.ones(size, dtype=bool)
+    width = 1
+    while width < depth:
+        nxt = np.arange(size) + width
+        ahead = np.where(nxt < ends, rank[np.minimum(nxt, size - 1)] + 1, 0) if size else rank
+        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + ahead, return_inverse=True)
+        width *= 2
+    sa = np.argsort(rank, kind="stable")
+    lcp = np.zeros(size, dtype=np.int64)
+    go = np.arange(1, size)
+    for n in range(depth):
+        a, b = sa[go - 1] + n, sa[go] + n
+        inside = (left[sa[go - 1]] > n) & (left[sa[go]] > n)
+        go = go[inside][tokens[a[inside]] == tokens[b[inside]]]
+        lcp[go] += 1
+    return sa, lcp, left[sa]
+
+
+def suffix_counts(tokens: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, a start of each distinct n-gram, occurrences, records) from the suffix array of a block of records.
+
+    ``tokens`` are the codes of all records one after the other, ``record`` the ascending record numbers. An n-gram is an
+    interval of the array inside which neighbours share n tokens at least; its length is the number of occurrences. A
+    record occurs in it once, and once more for each neighbour in its own order that lies in the same interval; these
+    adjacencies are subtracted.
+    """
+    if not len(tokens):
+        return
+    sa, lcp, left = suffix_array(tokens, record, max_n)
+    of = record[sa]
+    own = np.argsort(of, kind="stable")  # each record's suffixes in the order of the array
+    again = own[1:][of[own[1:]] == of[own[:-1]]]
+    before = own[:-1][of[own[1:]] == of[own[:-1]]]
     for n in range(1, max_n + 1):
-        if n > 1:
-            nxt = np.arange(size) + n - 1
-            ok = nxt < size
-            alive = alive & ok
-            alive[ok] &= record[np.minimum(nxt, size - 1)][ok] == record[ok]
-            nxt = np.where(alive, nxt, 0)
-            pair = rank * (int(tokens.max()) + 1) + tokens[nxt] if size else rank
-            _, rank = np.unique(np.where(alive, pair, -1), return_inverse=True)
-        at = np.flatnonzero(alive)
-        if not len(at):
-            return
-        sa = at[np.argsort(rank[at], kind="stable")]
-        r, d = rank[sa], record[sa]
-        head = np.empty(len(sa), dtype=bool)
-        head[0] = True
-        head[1:] = r[1:] != r[:-1]
-        twice = np.zeros(len(sa), dtype=np.int64)
-        twice[1:] = ~head[1:] & (d[1:] == d[:-1])
-        starts = np.flatnonzero(head)
+        interval = np.cumsum(lcp < n) - 1
+        starts = np.flatnonzero(lcp < n)
         occ = np.diff(np.append(starts, len(sa)))
-        yield n, sa[starts], occ, occ - np.add.reduceat(twice, starts)
+        twice = np.bincount(interval[again][interval[again] == interval[before]], minlength=len(starts))
+        long = left[starts] >= n
+        if long.any():
+            yield n, sa[starts[long]], occ[long], (occ - twice)[long]
 
 
 def _count(max_n: int, block: int):
@@ -97,14 +116,14 @@ def term_counts(texts: DataFrame, text_col: str = "text", max_n: int = 1, block:
     return part.groupBy("n", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked_terms(sup: DataFrame, rare: int = RARE, common: float = COMMON) -> DataFrame:
-    """(term, occurrences, records, mark): each term of the supervisions with its mark ``rare``, ``common`` or null.
+def marked_terms(sup: DataFrame, rare: int = RARE, common: float = COMMON, max_n: int = 1) -> DataFrame:
+    """(n, term, occurrences, records, mark): each n-gram of the supervisions with its mark ``rare``, ``common`` or null.
 
     Each id counts once. Rare: in at most ``rare`` supervisions; common: in more than the share ``common`` of the
     supervisions with non-null text. If both hold, the term is rare.
     """
     once = once_per_id(sup, "text").where(F.col("text").isNotNull())
     n = sup.where(F.col("text").isNotNull() & F.col("id").isNotNull()).agg(F.count_distinct("id").alias("total"))
-    counts = term_counts(once).drop("n").join(F.broadcast(n))  # one row
+    counts = term_counts(once, max_n=max_n).join(F.broadcast(n))  # one row
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("total"), "common")
-    return counts.select("term", "occurrences", "records", mark.alias("mark"))
+    return counts.select("n", "term", "occurrences", "records", mark.alias("mark"))
