@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from vocalith.llm import forms, pii, tagger
 from vocalith.llm.encode import decode_ids, encode_texts, load
 from vocalith.llm.mixing import mix_sources
-from vocalith.llm.overlap import allowed, block_sizes, cross_split_pairs, longest_partner, overlap_report, word_distance
+from vocalith.llm.overlap import allowed, block_sizes, cross_split_pairs, longest_partner, overlap_links, overlap_report, word_distance
 from vocalith.llm.runs import collapse_runs
 from vocalith.llm.splits import components, grouped_split, utterance_groups
 from vocalith.llm.terms import marked_terms, suffix_counts, term_counts
 from vocalith.llm.turns import speaker_turns
-from vocalith.llm.unify import LookTrie, same_look_pairs, unify_texts
+from vocalith.llm.unify import LookTrie, look_classes, same_look_pairs, unify_texts
 
 SUP = "id string, text string, lang string, subset string, corpus string"
 
@@ -185,6 +185,8 @@ def test_mixing(spark):
     used, shares = mix_sources(docs, targets)
     got = {x.source: x for x in shares.collect()}
     assert abs(got["col"].reached_share - 0.7) < 0.03 and abs(got["num"].reached_share - 0.3) < 0.03 and got["none"].used == 0
+    tokens = {x.source: x.n for x in used.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("n")).collect()}
+    assert abs(tokens["col"] / (tokens["col"] + tokens["num"]) - got["col"].labelled_share) < 1e-9
     assert used.where("source = 'col' and repeats > 1").count() == 0 and used.where("source = 'other' or doc_id in (1000, 1001)").count() == 0
     empty, _ = mix_sources(docs.limit(0), targets)
     assert empty.count() == 0
@@ -307,3 +309,13 @@ def test_turns_without_limits(spark):
     text = f"{name}: hello [laughter from all over the very large and crowded room here] you\n{other}: um\n{other}: yes\n[{name}] bye"
     got = sorted((r.turn_no, r.speaker_no, r.text) for r in speaker_turns(sup(spark, [("x", text, "train")])).collect())
     assert got == [(1, 1, "hello you"), (2, 2, "yes"), (3, 1, "bye")]
+
+
+def test_classes_and_links(spark):
+    words = "one two three four five six seven eight nine ten"
+    rows = [("a", words, "train"), ("b", words, "dev"), ("c", words.replace("ten", "tenth"), "dev"), ("d", words.upper(), "train"), ("e", "too short", "dev"), ("f", "other " * 9, "test"), ("g", None, "dev")]
+    df = sup(spark, rows)
+    assert {tuple(r) for r in overlap_links(df).collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "c", 2), ("d", "a", 2), ("f", "f", 0)}
+    df = sup(spark, [("a", "the cat", "x"), ("b", "the c\u0430t", "x"), ("c", "the cat", "x"), ("d", "The cat", "x"), ("e", None, "x"), ("f", " ", "x")])
+    assert {tuple(r) for r in look_classes(df).collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "a", 2), ("d", "d", 1)}
+    assert overlap_links(df.limit(0)).count() == look_classes(df.limit(0)).count() == 0

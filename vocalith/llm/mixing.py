@@ -18,8 +18,10 @@ from vocalith.session import materialize
 FIT_PER_SOURCE = 400
 #: Hashed features of the classifier, and its passes over the sample.
 FEATURES, PASSES = 4096, 30
-#: Rounds of the projected gradient.
-ROUNDS = 25
+#: Weight of the classifier in the posteriors of a document that has a label: how often labels are taken to be wrong.
+LABEL_NOISE = 0.02
+#: The projected gradient ends when no source is further from its tokens than this share of the mixture, or nothing moves.
+CLOSE = 1e-4
 #: Documents that are rounded to whole repeats together, about.
 PER_GROUP = 5000
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -37,20 +39,19 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return i, v / np.sqrt((v * v).sum())
 
 
-def fit_classifier(texts: list[str], labels: list[int], k: int) -> np.ndarray:
+def fit_classifier(rows: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     """Softmax regression on hashed features by full-batch gradient steps; the last row of the result is the bias."""
-    x = np.zeros((len(texts), FEATURES + 1), dtype=np.float32)
-    for r, t in enumerate(texts):
-        i, v = _features(t)
+    x = np.zeros((len(rows), FEATURES + 1), dtype=np.float32)
+    for r, (_, i, v) in enumerate(rows):
         x[r, i] = v
     x[:, -1] = 0.3
-    y = np.eye(k, dtype=np.float32)[np.array(labels, dtype=np.int64)] if texts else np.zeros((0, k), dtype=np.float32)
+    y = np.eye(k, dtype=np.float32)[np.array([r[0] for r in rows], dtype=np.int64)] if rows else np.zeros((0, k), dtype=np.float32)
     w = np.zeros((FEATURES + 1, k), dtype=np.float32)
-    for _ in range(PASSES if texts else 0):
+    for _ in range(PASSES if rows else 0):
         z = x @ w
         z = np.exp(z - z.max(axis=1, keepdims=True))
         p = z / z.sum(axis=1, keepdims=True)
-        w += 20.0 * (x.T @ (y - p)) / len(texts)
+        w += 20.0 * (x.T @ (y - p)) / len(rows)
     w[-1, y.sum(axis=0) == 0] = -1e9  # a class without a labelled document gets no share
     return w
 
@@ -63,40 +64,91 @@ def posteriors(w: np.ndarray, text: str) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, sources: list[str], w: np.ndarray | None, tokenizer: str, folder: str) -> DataFrame:
-    """(doc_id, source, size, post): tokens, and the share of each target source in the document."""
+    """(doc_id, source, size, post): tokens, and the posterior of each target source."""
     at = {s: i for i, s in enumerate(sources)}
+    k = len(sources)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(tokenizer, folder)
         for pdf in batches:
             post = []
             for s, t in zip(pdf["source"], pdf["text"], strict=True):
-                p = np.zeros(len(sources))
-                if s in at:
-                    p[at[s]] = 1.0
-                elif s is None and t and w is not None:
-                    p = posteriors(w, t).astype(float)
+                p = posteriors(w, t).astype(float) if w is not None and t else np.full(k, 0.0)
+                if s is not None:
+                    own = np.zeros(k)
+                    own[at[s]] = 1.0
+                    p = own if not p.any() else LABEL_NOISE * p + (1 - LABEL_NOISE) * own
                 post.append(p)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"].astype(object), "size": [len(bpe.encode(t)) for t in pdf["text"]], "post": post})
 
-    d = _pieces(docs.select("doc_id", "source", "text"))
+    d = _pieces(docs.where(F.col("source").isNull() | F.col("source").isin(sources)).select("doc_id", "source", "text"))
     return d.mapInPandas(run, "doc_id bigint, source string, size bigint, post array<double>")
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def _sample(docs: DataFrame, sources: list[str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Features of at most FIT_PER_SOURCE labelled documents of each source, the first by the hash of their ids. What the
+    driver gets is bounded by the number of features."""
+    at = {s: i for i, s in enumerate(sources)}
+    own = docs.where(F.col("source").isin(sources) & (F.length("text") > 0)).select("source", "text", "doc_id")
+    counts = {r["source"]: r["n"] for r in own.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return []
+    frac = F.lit(0.0)
+    for s, n in counts.items():  # about FIT_PER_SOURCE documents each, by hash, before the exact cut below
+        frac = F.when(F.col("source") == s, F.lit(min(1.0, 1.5 * FIT_PER_SOURCE / n))).otherwise(frac)
+    u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("u")
+    some = own.select("*", u).where(F.col("u") < frac)
+    some = some.withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("u", "doc_id"))).where(F.col("rn") <= FIT_PER_SOURCE)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            f = [_features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"source": pdf["source"].astype(object), "rn": pdf["rn"], "i": [x[0] for x in f], "v": [x[1] for x in f]})
+
+    rows = some.select("source", "rn", "text").mapInPandas(run, "source string, rn int, i array<bigint>, v array<double>").collect()
+    return [(at[r["source"]], np.array(r["i"], dtype=np.int64), np.array(r["v"])) for r in sorted(rows, key=lambda r: (r["source"], r["rn"]))]
+
+
+def _tops(post: np.ndarray, label: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """The most often that each document may be used: by its label, else by its most probable source."""
+    return cap[np.where(label >= 0, label, post.argmax(axis=1))]
+
+
+def _fold(post: np.ndarray, top: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The rates of documents after the steps, each kept between 0 and the most that is allowed."""
+    r = np.zeros(len(post))
+    for s in steps:
+        r = np.clip(r + post @ s, 0, top)
+    return r
+
+
+def _round(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole repeats for rates, from large to small documents: what a document gets too much or too little in tokens goes on
+    to the next one, so a group misses its tokens by half of its smallest document."""
+    pdf = pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable")
+    carry, out = 0.0, []
+    for size, rate, top in zip(pdf["size"], pdf["rate"], pdf["top"], strict=True):
+        carry += size * rate
+        n = min(int(top), max(0, int(np.floor(carry / size + 0.5))))
+        carry -= n * size
+        out.append(n)
+    return pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"].astype(object), "size": pdf["size"], "post": pdf["post"], "repeats": np.array(out, dtype=np.int32)})
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> tuple[DataFrame, DataFrame]:
     """(documents, shares) of a mixture of sources.
 
     documents: (doc_id, source, size, repeats) of all documents that are used; shares: (source, target_share,
-    reached_share, available, used, wanted) with sizes in tokens.
-
-    A document of a target source belongs to it wholly, one of another source to none, and one without a source in part
-    to each source, by the posteriors of a classifier fitted on at most FIT_PER_SOURCE labelled documents of each.
-    Each document has a rate between 0 and the largest number of repeats of its sources (the mean by its posteriors,
-    so a source's cap holds exactly for its own documents). Projected gradient steps on the squared differences between
-    expected and target tokens of each source move all rates; a round reads the documents once and sends one sum for
-    each source to the driver. The size of the mixture is the largest at which no source with documents of its own lacks
+    reached_share, labelled_share, available, used, wanted) with sizes in tokens.
+
+    A classifier, fitted on at most FIT_PER_SOURCE labelled documents of each source, gives every document its posteriors; a
+    label counts as evidence that is wrong in the share LABEL_NOISE of cases. Documents of sources without a target are not
+    used. Each document has a rate of its own between 0 and the repeats allowed (of its label, else of its most probable
+    source). Projected gradient steps on the squared differences between expected and target tokens of each source move all
+    rates from 0 on; a round reads the documents once and sends one sum for each source to the driver, and rounds go on
+    until the totals match or nothing moves any more. The size of the mixture is the largest at which no source lacks
     tokens; target sources without documents are reported with what is reached, mostly 0, and the others keep their
-    proportions. Rates become whole repeats by systematic rounding along the sizes.
+    proportions. ``reached_share`` counts tokens by posteriors, ``labelled_share`` by the labels of the documents.
 
     Null, empty or repeated targets: null sources and shares are dropped, the largest share of a repeated source counts.
     Null and empty texts have size 0 and are not used.
@@ -110,101 +162,70 @@ def mix_sources(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER,
     k = len(sources)
     if not k:
         raise ValueError("no target share is given")
-
-    pick = docs.where(F.col("source").isin(sources) & (F.length("text") > 0)).select("source", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
-    pick = pick.groupBy("source").agg(F.min_by("doc_id", "h").alias("x"), F.count("*").alias("n"))
-    counts = {r["source"]: r["n"] for r in pick.select("source", "n").collect()}
-    frac = F.lit(0.0)
-    for s, n in counts.items():  # about FIT_PER_SOURCE documents each, by hash, before the exact cut below
-        frac = F.when(F.col("source") == s, F.lit(min(1.0, 1.5 * FIT_PER_SOURCE / n))).otherwise(frac)
-    u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("u")
-    some = docs.where(F.col("source").isin(sources) & (F.length("text") > 0)).select("source", "text", "doc_id", u, frac.alias("f")).where("u < f")
-    some = some.orderBy("u", "doc_id").limit(2 * FIT_PER_SOURCE * k).collect() if counts else []
-    kept: dict[str, int] = {}
-    fit = []
-    for r in some:
-        kept[r["source"]] = kept.get(r["source"], 0) + 1
-        if kept[r["source"]] <= FIT_PER_SOURCE:
-            fit.append(r)
-    w = fit_classifier([r["text"] for r in fit], [sources.index(r["source"]) for r in fit], k) if len(kept) > 1 else None
-
+    at = {s: i for i, s in enumerate(sources)}
+    fitted = _sample(docs, sources)
+    w = fit_classifier(fitted, k) if fitted else None
     d = materialize(_documents(docs, sources, w, tokenizer, folder).where("size > 0"))
-    own = {r["source"]: (r["size"], r["n"]) for r in d.where(F.col("source").isin(sources)).groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    own = {r["source"]: (r["size"], r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     have = np.array([float(own.get(s, (0, 0))[0]) for s in sources])
-    soft = d.where("source is null")
-
     goal = np.where(have * cap > 0, share, 0.0)
     goal = goal / goal.sum() if goal.sum() else goal
-    usable = goal > 0
-    total = float(np.min(cap[usable] * have[usable] / goal[usable])) if usable.any() else 0.0
-    want = goal * total
-    per = np.where(have > 0, have, 1.0)
 
-    # All documents of one source share their rate. Those without a source have rates of their own, folded from the
-    # steps so far: no state is kept and the lineage does not grow.
-    steps: list[np.ndarray] = [np.where(have > 0, want / per, 0.0)]
-    rate = np.clip(steps[0], 0, cap)
+    def labels(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf["source"].map(lambda x: at.get(x, -1)).to_numpy(dtype=np.int64)
 
-    def soft_sums() -> np.ndarray:
-        so_far = np.array(steps)
+    def sums(steps: list[np.ndarray] | None) -> np.ndarray:
+        """Expected tokens of each source: with the rates after the steps, or with all documents as often as allowed."""
+        so_far = None if steps is None else np.array(steps)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
                     post = np.stack(pdf["post"].to_numpy())
-                    tokens = (_fold(post, so_far, cap) * pdf["size"].to_numpy())[:, None] * post
-                    yield pd.DataFrame([tokens.sum(axis=0)], columns=[f"s{i}" for i in range(k)])
+                    top = _tops(post, labels(pdf), cap)
+                    rate = top if so_far is None else _fold(post, top, so_far)
+                    yield pd.DataFrame([((rate * pdf["size"].to_numpy())[:, None] * post).sum(axis=0)], columns=[f"s{i}" for i in range(k)])
 
-        part = soft.select("size", "post").mapInPandas(run, ", ".join(f"s{i} double" for i in range(k)))
+        part = d.select("source", "size", "post").mapInPandas(run, ", ".join(f"s{i} double" for i in range(k)))
         got = part.agg(*[F.sum(f"s{i}") for i in range(k)]).first()
         return np.array([float(x or 0) for x in got])
 
-    any_soft = not soft.isEmpty()
-    for _ in range(rounds if total else 0):
-        gap = want - rate * have - (soft_sums() if any_soft else 0.0)
-        if np.abs(gap).max() <= 1e-4 * total:
-            break
-        # The gradient of a rate is its size times the gaps; scaling by the source's size frees the step of units.
-        step = np.where(have > 0, 0.8 * gap / per, 0.0)
-        steps.append(step)
-        rate = np.clip(rate + step, 0, cap)
-        if not any_soft and np.allclose(rate, np.clip(rate + step, 0, cap)):
+    most = sums(None)
+    usable = goal > 0
+    total = float(np.min(most[usable] / goal[usable])) if usable.any() else 0.0
+    want = goal * total
+    scale = np.where(most > 0, most, 1.0)
+    steps: list[np.ndarray] = []
+    worst = np.inf
+    while total:
+        gap = want - (sums(steps) if steps else 0.0)
+        now = float(np.abs(gap).max())
+        if now <= CLOSE * total or now > 0.99 * worst:
             break
-
-    so_far = np.array(steps)
+        # The gradient of a rate is its size times the gaps by its posteriors; dividing by what a source could give at
+        # most frees the step of units, and repeats count as often as they are allowed.
+        worst = now
+        steps.append(gap / scale * cap.clip(1))
+    so_far = np.array(steps).reshape(-1, k)
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {s: i for i, s in enumerate(sources)}
         for pdf in batches:
             post = np.stack(pdf["post"].to_numpy()) if len(pdf) else np.zeros((0, k))
-            r = _fold(post, so_far, cap)
-            hard = pdf["source"].map(lambda x: at.get(x, -1)).to_numpy(dtype=np.int64)
-            yield pdf.assign(source=pdf["source"].astype(object), rate=np.where(hard >= 0, rate[hard], r))
+            top = _tops(post, labels(pdf), cap) if len(pdf) else np.zeros(0)
+            yield pdf.assign(source=pdf["source"].astype(object), rate=_fold(post, top, so_far), top=top)
 
-    # Systematic rounding: in a group the sums of repeats follow the sums of rates, ordered by size. Groups are bounded.
+    # Documents are rounded in groups of about PER_GROUP.
     groups = F.lit(1)
     for s, (_, n) in own.items():
-        groups = F.when(F.col("source") == s, F.lit(max(1, n // PER_GROUP))).otherwise(groups)
-    groups = F.when(F.col("source").isNull(), F.lit(max(1, d.count() // PER_GROUP))).otherwise(groups)
-    r = d.where(F.col("source").isNull() | F.col("source").isin(sources)).mapInPandas(rates, "doc_id bigint, source string, size bigint, post array<double>, rate double")
-    order = Window.partitionBy("source", F.pmod(F.xxhash64("doc_id"), groups)).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("rate").over(order)
-    rep = F.floor(upto + 0.5) - F.floor(upto - F.col("rate") + 0.5)
-    most = sum((F.when(F.col("post")[i] > 0, float(cap[i])).otherwise(0.0) * F.col("post")[i] for i in range(k)), F.lit(0.0))
-    used = r.select("doc_id", "source", "size", "post", F.least(rep, F.ceil(most)).cast("int").alias("repeats"))
-    used = materialize(used.where("repeats > 0"))
-    got = used.agg(*[F.sum(F.col("size") * F.col("repeats") * F.col("post")[i]) for i in range(k)]).first()
+        groups = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(max(1, n // PER_GROUP))).otherwise(groups)
+    r = d.mapInPandas(rates, "doc_id bigint, source string, size bigint, post array<double>, rate double, top double")
+    r = r.withColumn("g", F.pmod(F.xxhash64("doc_id"), groups)).groupBy("source", "g").applyInPandas(lambda p: _round(p), "doc_id bigint, source string, size bigint, post array<double>, repeats int")
+    used = materialize(r.where("repeats > 0"))
+    tokens = F.col("size") * F.col("repeats")
+    got = used.agg(*[F.sum(tokens * F.col("post")[i]) for i in range(k)], *[F.sum(F.when(F.col("source") == s, tokens)) for s in sources]).first()
     got = np.array([float(x or 0) for x in got])
-    whole = got.sum() or 1.0
-    report = [(s, float(a), float(g / whole), int(h), float(g), float(x)) for s, a, h, g, x in zip(sources, share, have, got, want, strict=True)]
-    shares = spark.createDataFrame(report, "source string, target_share double, reached_share double, available bigint, used double, wanted double")
+    soft, hard = got[:k], got[k:]
+    whole, named = soft.sum() or 1.0, hard.sum() or 1.0
+    report = [(s, float(a), float(g / whole), float(b / named), int(h), float(g), float(x)) for s, a, g, b, h, x in zip(sources, share, soft, hard, have, want, strict=True)]
+    shares = spark.createDataFrame(report, "source string, target_share double, reached_share double, labelled_share double, available bigint, used double, wanted double")
     return used.select("doc_id", "source", "size", "repeats"), shares
-
-
-def _fold(post: np.ndarray, steps: np.ndarray, cap: np.ndarray) -> np.ndarray:
-    """The rates of documents after the steps, each clipped to what the posteriors allow."""
-    top = post @ cap
-    r = np.zeros(len(post))
-    for s in steps:
-        r = np.clip(r + post @ s, 0, top)
-    return r

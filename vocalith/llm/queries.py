@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from vocalith.llm.encode import encode_texts
 from vocalith.llm.mixing import mix_sources
-from vocalith.llm.overlap import cross_split_pairs, overlap_report
+from vocalith.llm.overlap import cross_split_pairs, overlap_links, overlap_report
 from vocalith.llm.pii import find_personal, mask_personal
 from vocalith.llm.runs import collapse_runs
 from vocalith.llm.splits import grouped_split, utterance_groups
 from vocalith.llm.sql import SQL  # noqa: F401
 from vocalith.llm.terms import marked_terms
 from vocalith.llm.turns import speaker_turns
-from vocalith.llm.unify import same_look_pairs, unify_texts
+from vocalith.llm.unify import look_classes, same_look_pairs, unify_texts
 from pyspark.sql import functions as F
 
 from vocalith.session import table
@@ -29,6 +29,14 @@ def p6_found(spark, sf_dir):
     return cross_split_pairs(table(spark, sf_dir, "supervisions"))
 
 
+def p5_classes(spark, sf_dir):
+    return look_classes(table(spark, sf_dir, "supervisions"))
+
+
+def p6_links(spark, sf_dir):
+    return overlap_links(table(spark, sf_dir, "supervisions"))
+
+
 def p6_report(spark, sf_dir):
     return overlap_report(table(spark, sf_dir, "supervisions"))
 
@@ -101,5 +109,5 @@ def p10_masked(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_turns, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p5_found, p5_texts, p6_found, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)
+    for f in (p1_found, p1_turns, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p5_found, p5_texts, p5_classes, p6_found, p6_links, p6_report, p7_found, p7_events, p8_ids, p9_mix, p9_shares, p10_found, p10_masked)
 }

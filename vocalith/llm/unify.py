@@ -14,8 +14,8 @@ from vocalith.llm import forms
 from vocalith.llm.common import once_per_id
 from vocalith.session import materialize
 
-#: Groups of the vocabulary, each with its own trie; the look of a token says which one.
-BUCKETS = 512
+#: Tokens of a trie, about: the vocabulary is cut into so many groups by the look of the tokens.
+PER_TRIE = 5000
 
 
 class LookTrie:
@@ -108,7 +108,7 @@ def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": list(out), "canon": list(out.values())}, dtype=object)
 
 
-def canonical_tokens(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def canonical_tokens(texts: DataFrame, text_col: str = "text", per_trie: int = PER_TRIE) -> DataFrame:
     """(token, canon): the chosen spelling of every token that is not an unmistakable spelling itself.
 
     Tokens are the runs between white space of any kind. The vocabulary is counted over all rows in batches; of the
@@ -120,8 +120,9 @@ def canonical_tokens(texts: DataFrame, text_col: str = "text", buckets: int = BU
     voc = t.mapInPandas(_counts, "token string, n bigint, look bigint, plain boolean")
     voc = voc.groupBy("token", "look", "plain").agg(F.sum("n").alias("n"))
     voc = voc.withColumn("needed", F.min("plain").over(_by_look()))
-    voc = voc.where(~F.col("needed")).drop("needed")
-    return voc.withColumn("g", F.pmod("look", F.lit(buckets))).groupBy("g").applyInPandas(_canonical, "token string, canon string")
+    voc = materialize(voc.where(~F.col("needed")).drop("needed"))
+    tries = max(1, voc.count() // per_trie)
+    return voc.withColumn("g", F.pmod("look", F.lit(tries))).groupBy("g").applyInPandas(_canonical, "token string, canon string")
 
 
 def _by_look():
@@ -168,11 +169,11 @@ def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"].astype(object), "raw": pdf["raw"], "text": out, "key": [_digest(t) if t else b"" for t in out]})
 
 
-def _with_keys(sup: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _with_keys(sup: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose text is one form already, rewritten rows): id, raw, key, and text of the second."""
     texts = once_per_id(sup, "text").where(F.col("text").isNotNull())
     first = materialize(texts.mapInPandas(_first_look, "id string, raw binary, key binary, odd array<string>, text string"))
-    canon = canonical_tokens(sup, buckets=buckets)
+    canon = canonical_tokens(sup)
     odd = first.where("odd is not null")
     pairs = odd.select("id", F.explode("odd").alias("token")).join(canon, "token")
     pairs = pairs.groupBy("id").agg(F.collect_list(F.struct("token", "canon")).alias("pairs"))
@@ -180,26 +181,26 @@ def _with_keys(sup: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     return first.where("odd is null").select("id", "raw", "key"), done
 
 
-def unify_texts(sup: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def unify_texts(sup: DataFrame) -> DataFrame:
     """(id, text): each supervision id once with its text in the one consistent form.
 
     A null text stays null; a text without any visible character becomes the empty text; white space of any kind and
     length becomes one space. Case, punctuation and words stay. Other columns are not read.
     """
     texts = once_per_id(sup, "text")
-    _, done = _with_keys(sup, buckets)
+    _, done = _with_keys(sup)
     done = done.select("id", F.col("text").alias("new"))
     flat = F.trim(F.regexp_replace("text", forms.JAVA_SPACES, " "))
     return texts.join(done, "id", "left").select("id", F.coalesce("new", flat).alias("text"))
 
 
-def same_look_pairs(sup: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def same_look_pairs(sup: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: ids whose raw texts differ but come out of the unification as the same text.
 
     Null texts and texts without a visible character are in no pair. Distinct texts of one form are paired first and
     then brought out to their ids, so equal texts never meet each other.
     """
-    clean, done = _with_keys(sup, buckets)
+    clean, done = _with_keys(sup)
     rows = clean.unionByName(done.select("id", "raw", "key")).where(F.length("key") > 0)
     rows = materialize(rows)
     kinds = rows.select("key", "raw").distinct()
@@ -212,3 +213,13 @@ def same_look_pairs(sup: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     b = members.select(F.col("key"), F.col("raw").alias("rb"), F.col("id").alias("ib"))
     out = pairs.join(a, ["key", "ra"]).join(b, ["key", "rb"])
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+
+
+def look_classes(sup: DataFrame) -> DataFrame:
+    """(id, class_id, n_raw): each supervision id with the smallest id of its class, the texts of the same look, and how many
+    different encodings the class has. Null texts and texts without a visible character are in no class."""
+    clean, done = _with_keys(sup)
+    rows = materialize(clean.unionByName(done.select("id", "raw", "key")).where(F.length("key") > 0))
+    # A class may hold a third of all rows: it is counted before it meets its members.
+    kinds = rows.groupBy("key", "raw").agg(F.min("id").alias("i")).groupBy("key").agg(F.min("i").alias("class_id"), F.count("*").alias("n_raw"))
+    return rows.select("id", "key").join(kinds, "key").select("id", "class_id", "n_raw")
