@@ -92,3 +92,23 @@ def word_spans(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
     piece = F.struct("start_frame", "end_frame", "token", F.replace("symbol", F.lit("▁"), F.lit("")).alias("s"))
     g = g.groupBy("utt_id", "word_no").agg(F.min("start_frame").alias("first"), F.max("end_frame").alias("last"), F.array_sort(F.collect_list(piece)).alias("x"))
     return g.select("utt_id", "word_no", "first", "last", F.array_join("x.s", "").alias("word"))
+
+
+def one_hot_mask(a: Column, classes: int, score: float) -> Column:
+    """For each label of an alignment a row of ``classes`` values: 0 at the label, ``score`` elsewhere."""
+    return F.transform(a, lambda t: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.when(k == t, 0.0).otherwise(score)))
+
+
+def word_starts(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """The rows of ``t`` (utt_id, start_frame, end_frame, token, symbol) that begin a word: those with ``▁`` and the first one of an
+    utterance, but not a lone ``▁`` before another word or at the end. Neighbours across slices of frames come from one row for each slice."""
+    t = t.withColumn("_s", F.floor(F.col("start_frame") / slice_frames))
+    w = Window.partitionBy("utt_id", "_s").orderBy("start_frame", "end_frame", "token")
+    t = t.withColumns({"_i": F.row_number().over(w), "_next": F.lead("symbol").over(w)})
+    over = Window.partitionBy("utt_id").orderBy("_s")
+    edge = t.where("_i = 1").select("utt_id", "_s", "symbol")
+    edge = edge.select("utt_id", "_s", F.lag("_s").over(over).isNull().alias("_first"), F.lead("symbol").over(over).alias("_behind"))
+    t = t.join(edge, ["utt_id", "_s"]).withColumn("_next", F.coalesce("_next", "_behind"))
+    begins = F.col("symbol").startswith("▁") | (F.col("_first") & (F.col("_i") == 1))
+    lone = (F.col("symbol") == "▁") & (F.col("_next").isNull() | F.col("_next").startswith("▁"))
+    return t.where(begins & ~lone).drop("_s", "_i", "_next", "_first", "_behind")

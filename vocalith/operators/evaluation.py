@@ -184,3 +184,9 @@ def average_precision(scored: DataFrame, cls: str = "cls") -> DataFrame:
     w = Window.partitionBy(cls).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({"ch": F.sum("h").over(w), "cn": F.sum("n").over(w), "all": F.sum("h").over(Window.partitionBy(cls))})
     return t.where(F.col("all") > 0).groupBy(cls).agg(F.sum(F.col("h") / F.col("all") * F.col("ch") / F.col("cn")).alias("ap"))
+
+
+def error_table(results: DataFrame, setting: str) -> DataFrame:
+    """(setting, error, place): percent of wrong results of each setting, the best first. ``results`` has (setting, got, want)."""
+    g = results.groupBy(setting).agg(F.round(100.0 * F.count_if(F.col("got") != F.col("want")) / F.count("*"), 6).alias("error"))
+    return g.withColumn("place", F.rank().over(Window.orderBy("error", setting)).cast("bigint"))  # a row for each setting

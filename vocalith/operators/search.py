@@ -172,3 +172,21 @@ def find_keywords(labels: list, probs: list[float], graph: PhraseGraph, blank=0,
                 out.append((graph.phrase[hit], own[0][0], own[-1][2], mean))
                 at, held = 0, []
     return out
+
+
+def keyword_hits(frames: DataFrame, key: str, order: str, scores: str, phrases: list[tuple[int, ...]], threshold: float = 0.5, tail: int = 1, blank: int = 0) -> DataFrame:
+    """(key, phrase, first, last, prob): keywords in the best labels of each utterance; one task holds the frames of one
+    utterance. ``first`` and ``last`` count frames from 0."""
+    graph = PhraseGraph(phrases, threshold=threshold or 1e-9)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("o")
+        x = np.stack(pdf["s"].to_numpy()).astype(float)
+        p = np.exp(x - x.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        hits = find_keywords(best.tolist(), p.max(axis=1).tolist(), graph, blank, tail)
+        return pd.DataFrame([(pdf["k"].iloc[0], " ".join(map(str, a)), b, c, m) for a, b, c, m in hits], columns=["k", "phrase", "first", "last", "prob"])
+
+    d = frames.where(F.col(scores).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(scores).alias("s"))
+    return d.groupBy("k").applyInPandas(run, "k string, phrase string, first int, last int, prob double").withColumnRenamed("k", key)
