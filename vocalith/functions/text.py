@@ -41,10 +41,15 @@ def common_voice(c: Column, lang: Column) -> Column:
     how results have always been made, and is kept.
     """
     x = F.replace(F.regexp_replace(c, "-+", " "), F.lit("’"), F.lit("'"))
-    en = F.upper(F.regexp_replace(x, r"[^A-Za-z ]", ""))
+    en = F.upper(F.regexp_replace(x, r"[^A-Za-z\s]", ""))
     fr = F.upper(F.regexp_replace(x, r"[^A-ZÀÂÆÇÉÈÊËÎÏÔŒÙÛÜ' ]", ""))
-    pl = F.upper(F.regexp_replace(x, r"[^a-zA-ZąęśćżźłóńĄĘŚĆŻŹŁÓŃ' ]", ""))
-    return F.when(lang == "en", en).when(lang == "fr", fr).when(lang == "pl", pl).otherwise(F.upper(x))
+    pl = F.upper(F.regexp_replace(x, r"[^a-ząćęłńóśźżA-ZĄĆĘŁŃÓŚŹŻ' ]", ""))
+    yue = F.translate(F.upper(x), CANTONESE_MARKS, "")
+    return F.when(lang == "en", en).when(lang == "fr", fr).when(lang == "pl", pl).when(lang.isin("yue", "zh-HK"), yue).otherwise(F.upper(x))
+
+
+# Marks that Cantonese transcripts lose.
+CANTONESE_MARKS = "\\，。？！?!‘、,.:;「」“”~—ㄧ《》…⋯·﹒．：︰﹖（）－～；￼⠀﹔／ＡＢ–‧"
 
 
 def wide_to_ascii(c: Column) -> Column:
@@ -131,7 +136,7 @@ def char_pairs(c: Column, n: int = 2) -> Column:
     return F.trim(F.regexp_replace(c, f"(.{{{n}}})", "$1 "))
 
 
-def punctuation_spacing(c: Column, lang: str = "en") -> Column:
+def punctuation_rules(lang: str = "en") -> list[tuple[str, str]]:
     """Spaces and quotes around punctuation by ordered rules; what stands last depends on the language.
 
     A blank before ``?`` or ``!`` becomes a backslash, and `` cm`` keeps its no-break space as a blank: this is how
@@ -150,7 +155,12 @@ def punctuation_spacing(c: Column, lang: str = "en") -> Column:
         rules += [(',"', '",'), (r'(\.+)"(\s*[^<])', '"$1$2')]
     # A digit group: a comma in languages that write decimals so.
     rules.append((r"(\p{Nd}) (\p{Nd})", "$1,$2" if lang in ("de", "es", "cz", "cs", "fr") else "$1.$2"))
-    for a, b in rules:
+    return rules
+
+
+def punctuation_spacing(c: Column, lang: str = "en") -> Column:
+    """A text after all ``punctuation_rules`` of its language."""
+    for a, b in punctuation_rules(lang):
         c = F.regexp_replace(c, a, b)
     return c
 

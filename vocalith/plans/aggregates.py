@@ -217,7 +217,7 @@ def rank_by_frequency(spark, d):
     return c.withColumn("place", F.rank().over(Window.partitionBy("corpus").orderBy(F.desc("n"), F.desc("lang"))).cast("bigint"))
 
 
-@query(f"select id, duration from {_ONCE} where text is not null order by length(text) desc, id limit 300")
+@query(f"select id, duration, row_number() over (order by length(text) desc, id) as position from {_ONCE} where text is not null")
 def sort_by_length(spark, d):
     s = _once(spark, d).where("text is not null").select("id", "duration", (-F.length("text")).alias("_n"))
     return O.number_rows(s, "_n", "id", name="position").select("id", "duration", "position")

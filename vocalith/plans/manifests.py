@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vocalith.functions import sequences as S
 from vocalith.operators import manifests as M
 from vocalith.operators import ordering as O
 from vocalith.session import table
@@ -157,9 +158,7 @@ select id, coalesce(tokens, '') as tokens from (select distinct id from supervis
 def join_attach_tokens(spark, d):
     t = table(spark, d, "token_spans").where("token is not null and start_frame is not null and end_frame is not null")
     t = t.select("utt_id", "token", "start_frame", "end_frame").distinct()
-    t = t.join(_sup(spark, d).select(F.col("id").alias("utt_id")), "utt_id", "left_semi")  # the stray long sequence goes first
-    t = t.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "token"))).alias("a"))
-    t = t.select(F.col("utt_id").alias("id"), F.array_join(F.transform("a", lambda x: x["token"].cast("string")), " ").alias("tokens"))
+    t = S.token_arrays(t.where("utt_id is not null")).select(F.col("utt_id").alias("id"), S.joined(F.col("a")).alias("tokens"))
     return _sup(spark, d).select("id").distinct().join(t, "id", "left").select("id", F.coalesce("tokens", F.lit("")).alias("tokens"))
 
 
@@ -281,7 +280,7 @@ def split_chunks(spark, d):
     return O.split_by_size(table(spark, d, "documents").select("doc_id"), 64, "doc_id")
 
 
-@query("select doc_id from documents order by md5(cast(doc_id as varchar) || '#3'), doc_id limit 50")
+@query("select doc_id, row_number() over (order by md5(cast(doc_id as varchar) || '#3'), doc_id) as position from documents")
 def shuffle_head(spark, d):
     return O.shuffled(table(spark, d, "documents").select("doc_id"), "doc_id", 3)
 

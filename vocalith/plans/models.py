@@ -134,7 +134,7 @@ def wer_word_stats(spark, d):
     return E.word_stats(E.alignments(_results(spark, d)))
 
 
-@query(f"""with t as (select regexp_replace(text, '[^a-z ]', '', 'g') as ref from {_ONCE} where length(text) < 400),
+@query(f"""with t as (select regexp_replace(text, '[^a-z ]', '', 'g') as ref from {_ONCE}),
 h as (select ref, replace(ref, 'th', 'd') as hyp from t)
 select sum(length(ref)) as n_ref, sum(levenshtein(ref, hyp)) as errors, 100.0 * sum(levenshtein(ref, hyp)) / sum(length(ref)) as cer from h""")
 def cer_summary(spark, d):
@@ -207,7 +207,7 @@ def merge_hypotheses(spark, d):
     return _nbest(spark, d).groupBy("utt", F.col("label") % 2).agg(F.round(F.log(F.sum(F.exp("am"))), 9).alias("total"), F.count("*").alias("n")).select("utt", "total", "n")
 
 
-@query("""with h as (select doc_id // 5 as utt, doc_id, regexp_replace(left(text, 60), '[^a-z ]', '', 'g') as h from documents where text is not null),
+@query("""with h as (select doc_id // 5 as utt, doc_id, regexp_replace(text, '[^a-z ]', '', 'g') as h from documents where text is not null),
 r as (select utt, arg_min(h, doc_id) as ref from h group by utt),
 e as (select utt, doc_id, levenshtein(h, ref) as e from h join r using (utt) where h <> ref)
 select utt, min(e) as errors from e group by utt""")
