@@ -71,12 +71,14 @@ def reordered(starts: list[int], frames: list[int], factor: int) -> list[tuple[i
     return sorted(rows, key=lambda r: (-frames[r[0]], r[0]))
 
 
-def token_arrays(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
-    """(utt_id, a): the tokens of each utterance by start, end and token, sorted in slices of frames and strung together."""
+def token_arrays(t: DataFrame, slice_frames: int = SLICE, also: str | None = None) -> DataFrame:
+    """(utt_id, a): the tokens of each utterance by start, end and token, sorted in slices of frames and strung together; with
+    ``also`` another column in the same order, as b."""
     t = t.withColumn("_s", F.floor(F.col("start_frame") / slice_frames))
     t = t.groupBy("utt_id", "_s").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "token"))).alias("x"))
-    t = t.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("_s", F.col("x.token").alias("a")))).alias("x"))
-    return t.select("utt_id", F.flatten("x.a").alias("a"))
+    parts = [F.col("x.token").alias("a"), *([F.col(f"x.{also}").alias("b")] if also else [])]
+    t = t.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("_s", *parts))).alias("x"))
+    return t.select("utt_id", F.flatten("x.a").alias("a"), *([F.flatten("x.b").alias("b")] if also else []))
 
 
 def word_spans(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:

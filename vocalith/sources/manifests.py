@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORDINGS = "id string, duration double, source string, num_channels int, sampling_rate int"
-SUPERVISIONS = "id string, recording_id string, start_sec double, duration double, channel int, text string, lang string, speaker string, gender string, custom map<string,string>"
+SUPERVISIONS = "id string, recording_id string, start_sec double, duration double, channel int, text string, lang string, speaker string, gender string, custom map<string,string>, corpus string, subset string, added_at timestamp_ntz"
 CUTS = (
     "id string, start double, duration double, channel int, num_frames int, recording struct<id:string,duration:double>, "
     "supervisions array<struct<id:string,start:double,duration:double,text:string,alignment:array<struct<symbol:string,start:double,duration:double>>>>"
@@ -21,12 +21,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """Compressed JSON lines; ``mode="ignore"`` skips a stage whose output is there."""
-    df.write.mode(mode).option("compression", "gzip").json(path)
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.mode(mode).option("compression", "gzip").option("timestampNTZFormat", micros).option("timestampFormat", micros + "XXX").json(path)
 
 
-def read_parts(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Several manifests at once, with the name of the part each row comes from."""
-    lines = spark.read.text(pattern).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.jsonl)?(?:\.gz)?$", 1).alias("part"))
+def read_parts(spark: SparkSession, pattern: str | list[str], schema: str, parts: int | None = None) -> DataFrame:
+    """Several manifests at once, with the name of the file each row comes from. Paths that are not there are an error; so is
+    another number of files than ``parts``, if given."""
+    read = spark.read.text(pattern)
+    if parts is not None and len(read.inputFiles()) != parts:
+        raise ValueError(f"{len(read.inputFiles())} manifests instead of {parts}")
+    lines = read.select("value", F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.jsonl)?(?:\.gz)?$", 1).alias("part"))
     return lines.where(F.trim("value") != "").select("part", F.from_json("value", schema).alias("j")).select("part", "j.*")
 
 
@@ -68,6 +73,11 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.get(c, 0).alias("symbol"), F.get(c, 1).cast("int").alias("id"))
 
 
+def read_label_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id) of a table with a head and the columns index, name and shown name."""
+    return spark.read.option("header", "true").schema("id int, mid string, name string").csv(path).select("name", "id")
+
+
 def read_labels_csv(spark: SparkSession, path: str, ids: DataFrame, header_rows: int = 3) -> DataFrame:
     """(key, labels): blank-separated label lists after the header; names become ids joined with ``;`` in their order."""
     x = numbered_lines(spark, path).where(F.col("no") >= header_rows).where(F.trim("value") != "")
@@ -129,6 +139,12 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
     return g.agg(F.max(F.when(F.col("side") == "ref", F.col("w"))).alias("ref"), F.max(F.when(F.col("side") == "hyp", F.col("w"))).alias("hyp"))
 
 
+def joined_references(lines: DataFrame) -> DataFrame:
+    """(id, ref): the words of each reference list without blanks between them; other lines are left out."""
+    x = lines.where(F.col("value").contains(":\tref=[")).select(F.regexp_extract("value", r"^([^:]*):", 1).alias("id"), F.regexp_extract("value", r"ref=\[(.*)\]$", 1).alias("body"))
+    return x.select("id", F.array_join(F.transform(F.split("body", ", "), lambda w: F.trim(w, F.lit("'"))), "").alias("ref"))
+
+
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
     """(n, history, word, f, bow) of an ARPA file; probabilities leave their base-10 logarithms."""
     x = numbered_lines(spark, path).withColumn("sec", F.regexp_extract("value", r"^\\(\d+)-grams:", 1))
