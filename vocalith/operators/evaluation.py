@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,20 +13,31 @@ EPS = "*"
 
 
 def align(ref: list, hyp: list) -> list[tuple]:
-    """Pairs (ref, hyp) of a cheapest alignment; ``*`` stands for nothing. Ties prefer the diagonal, then deletion."""
+    """Pairs (ref, hyp) of a cheapest alignment; ``*`` stands for nothing. Ties prefer the diagonal, then deletion.
+
+    Only cells within ``band`` of the main diagonal are filled; the band doubles until it is as wide as the cost, when it holds
+    every cheapest path. Texts that are nearly the same take time in proportion to their length.
+    """
     n, m = len(ref), len(hyp)
-    cost = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        row, above = [i], cost[-1]
-        for j in range(1, m + 1):
-            row.append(min(above[j - 1] + (ref[i - 1] != hyp[j - 1]), above[j] + 1, row[j - 1] + 1))
-        cost.append(row)
+    band = max(8, abs(n - m))
+    while True:
+        rows = _band(ref, hyp, band)
+        if rows[n][m - max(0, n - band)] <= band or band >= max(n, m):
+            break
+        band *= 2
+    far = n + m + 1
+
+    def cost(i: int, j: int) -> int:
+        k = j - max(0, i - band)
+        return rows[i][k] if 0 <= k < len(rows[i]) else far
+
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+        now = cost(i, j)
+        if i and j and now == cost(i - 1, j - 1) + (ref[i - 1] != hyp[j - 1]):
             i, j = i - 1, j - 1
             out.append((ref[i], hyp[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+        elif i and now == cost(i - 1, j) + 1:
             i -= 1
             out.append((ref[i], EPS))
         else:
@@ -35,6 +46,28 @@ def align(ref: list, hyp: list) -> list[tuple]:
     return out[::-1]
 
 
+def _band(ref: list, hyp: list, band: int) -> list[list[int]]:
+    """The rows of the table of costs; row i begins at column max(0, i - band) and ends at i + band."""
+    n, m = len(ref), len(hyp)
+    far = n + m + 1
+    rows = [list(range(min(m, band) + 1))]
+    for i in range(1, n + 1):
+        lo, hi, above, start = max(0, i - band), min(m, i + band), rows[-1], max(0, i - 1 - band)
+        row: list[int] = []
+        left, word, size = far, ref[i - 1], len(above)
+        for j in range(lo, hi + 1):
+            k = j - start
+            best = left + 1
+            if j and 0 < k <= size and (d := above[k - 1] + (word != hyp[j - 1])) < best:
+                best = d
+            if k < size and above[k] + 1 < best:
+                best = above[k] + 1
+            row.append(best)
+            left = best
+        rows.append(row)
+    return rows
+
+
 def render(pairs: list[tuple]) -> str:
     """An alignment as text, neighbouring errors joined: ``(EDISON->ADDISON)``."""
     out, r, h = [], [], []
@@ -145,26 +178,46 @@ def delays(aligned_times: DataFrame) -> DataFrame:
     return aligned_times.where(F.col("ref") == F.col("hyp")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
 
 
-def orc_errors(refs: list[list[str]], channels: list[list[str]]) -> int:
-    """Fewest word errors over all assignments of utterances to channels, in order."""
-    best = None
-
-    def go(i: int, parts: list[list[str]]) -> None:
-        nonlocal best
-        if i == len(refs):
-            e = sum(sum(a != b for a, b in align(p, c)) for p, c in zip(parts, channels, strict=True))
-            best = e if best is None else min(best, e)
-            return
-        for c in range(len(channels)):
-            go(i + 1, [[*p, *refs[i]] if k == c else p for k, p in enumerate(parts)])
-
-    go(0, [[] for _ in channels])
-    return best or 0
-
-
-def permuted_errors(refs: list[list[str]], channels: list[list[str]]) -> int:
-    """Fewest word errors over assignments of whole references to channels."""
-    return min(sum(sum(a != b for a, b in align(r, c)) for r, c in zip(p, channels, strict=True)) for p in permutations(refs))
+def orc_errors(refs: list[list], channels: list[list]) -> int:
+    """Fewest word errors over all assignments of utterances, in order, to channels.
+
+    A table over the positions in all channels holds the fewest errors so far; each utterance moves it on along one channel
+    or another. The time grows with the words of the references times the product of the channels' lengths.
+    """
+    shape = tuple(len(c) + 1 for c in channels)
+    best = np.full(shape, 1 << 40, dtype=np.int64)
+    best[(0,) * len(channels)] = 0
+    for words in refs:
+        ways = []
+        for axis, hyp in enumerate(channels):
+            row = np.moveaxis(best, axis, 0).copy()
+            for w in (None, *words):
+                new = row.copy() if w is None else row + 1
+                for j in range(1, len(hyp) + 1):
+                    if w is not None:
+                        np.minimum(new[j], row[j - 1] + (w != hyp[j - 1]), out=new[j])
+                    np.minimum(new[j], new[j - 1] + 1, out=new[j])
+                row = new
+            ways.append(np.moveaxis(row, 0, axis))
+        best = np.minimum.reduce(ways)
+    rest = sum(np.ix_(*[np.arange(n - 1, -1, -1) for n in shape]))
+    return int((best + rest).min())
+
+
+def permuted_errors(refs: list[list], channels: list[list]) -> int:
+    """Fewest word errors over assignments of whole references to channels, one to one; a table over sets of references."""
+    n = len(refs)
+    cost = [[sum(a != b for a, b in align(r, c)) for r in refs] for c in channels]
+    best = {0: 0}
+    for row in cost:
+        new: dict[int, int] = {}
+        for used, so_far in best.items():
+            for i in range(n):
+                if not used >> i & 1:
+                    k = used | 1 << i
+                    new[k] = min(new.get(k, 1 << 40), so_far + row[i])
+        best = new
+    return best.get((1 << n) - 1, 0)
 
 
 def keyword_metrics(hits: DataFrame) -> DataFrame:

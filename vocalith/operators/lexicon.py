@@ -47,18 +47,45 @@ def disambiguate(lex: DataFrame) -> DataFrame:
     return x.select("pos", "word", F.when((F.col("same") > 1) | F.col("pre").isNotNull(), F.concat("s", F.lit(" #"), F.col("k").cast("string"))).otherwise(F.col("s")).alias("tokens"))
 
 
-def token_runs(frames: DataFrame) -> DataFrame:
+#: Frames that one task puts in order of an utterance.
+SLICE = 20_000
+
+
+def numbered_frames(frames: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """``frames`` (utt_id, start_frame, token) with their place ``f`` from 0, whether they ``begin`` a run of equal labels, the
+    number ``run`` of it, and whether they are the ``last``.
+
+    Frames are ordered slice by slice; one row for each utterance and slice tells how many frames and runs came before, and
+    which label stood last. A long utterance is spread over tasks.
+    """
+    x = frames.withColumn("_s", F.floor(F.col("start_frame") / slice_frames))
+    w = Window.partitionBy("utt_id", "_s").orderBy("start_frame", "token")
+    x = x.withColumns({"_i": F.row_number().over(w), "_b": F.lag("token").over(w)})
+    x = x.withColumn("_new", (F.col("_b").isNull() | (F.col("_b") != F.col("token"))).cast("int"))
+    edge = x.groupBy("utt_id", "_s").agg(
+        F.count("*").alias("n"), F.sum("_new").alias("k"), F.min(F.struct("start_frame", "token")).alias("head"), F.max(F.struct("start_frame", "token")).alias("tail"))
+    over = Window.partitionBy("utt_id").orderBy("_s")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("_on", F.coalesce((F.lag("tail").over(over)["token"] == F.col("head.token")).cast("int"), F.lit(0)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    edge = edge.select(
+        "utt_id", "_s", "_on", zero(F.sum("n").over(before)).alias("_at"), zero(F.sum(F.col("k") - F.col("_on")).over(before)).alias("_runs"), F.sum("n").over(Window.partitionBy("utt_id")).alias("_all"))
+    x = x.join(edge, ["utt_id", "_s"])
+    begin = F.when(F.col("_i") == 1, 1 - F.col("_on")).otherwise(F.col("_new"))
+    x = x.withColumns({"begin": begin, "f": F.col("_at") + F.col("_i") - 1})
+    x = x.withColumns({"run": F.col("_runs") + F.sum("begin").over(w), "last": F.col("f") == F.col("_all") - 1})
+    return x.select("utt_id", "start_frame", "token", "_s", "f", F.col("begin") == 1, "run", "last").toDF("utt_id", "start_frame", "token", "slice", "f", "begin", "run", "last")
+
+
+def token_runs(frames: DataFrame, slice_frames: int = SLICE) -> DataFrame:
     """(utt_id, token, start, stop): runs of equal labels in frames [start, stop), blanks left out."""
-    w = Window.partitionBy("utt_id").orderBy("start_frame", "token")
-    x = frames.withColumns({"f": F.row_number().over(w) - 1, "before": F.lag("token").over(w)})
-    x = x.withColumn("run", F.sum(F.when(F.col("before") == F.col("token"), 0).otherwise(1)).over(Window.partitionBy("utt_id").orderBy("f")))
-    x = x.where("token <> 0").groupBy("utt_id", "run", "token").agg(F.min("f").cast("bigint").alias("start"), (F.max("f") + 1).cast("bigint").alias("stop"))
-    return x.drop("run")
-
-
-def collapse(frames: DataFrame) -> DataFrame:
-    """(utt_id, tokens): repeats collapsed, then blanks dropped."""
-    w = Window.partitionBy("utt_id").orderBy("start_frame", "token")
-    x = frames.withColumn("before", F.lag("token").over(w)).where(F.col("token") != 0).where(F.col("before").isNull() | (F.col("before") != F.col("token")))
-    x = x.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "token"))).alias("a"))
-    return x.select("utt_id", F.array_join(F.transform("a", lambda y: y["token"].cast("string")), " ").alias("tokens"))
+    x = numbered_frames(frames, slice_frames).where("token <> 0").groupBy("utt_id", "run", "token")
+    return x.agg(F.min("f").cast("bigint").alias("start"), (F.max("f") + 1).cast("bigint").alias("stop")).drop("run")
+
+
+def collapse(frames: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """(utt_id, tokens): repeats collapsed, then blanks dropped; slices are strung together at the end."""
+    x = numbered_frames(frames, slice_frames).where(F.col("begin") & (F.col("token") != 0))
+    x = x.groupBy("utt_id", "slice").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("a"))
+    x = x.groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("slice", F.col("a.token").alias("a")))).alias("x"))
+    return x.select("utt_id", F.array_join(F.transform(F.flatten("x.a"), lambda y: y.cast("string")), " ").alias("tokens"))

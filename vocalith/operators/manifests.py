@@ -89,15 +89,48 @@ def windows_with_hop(rec: DataFrame, length: float, hop: float) -> DataFrame:
     return w.select("id", "window_no", (F.col("window_no") * hop).alias("start_sec"), F.least(F.col("window_no") * hop + length, F.col("duration")).alias("end_sec"))
 
 
+#: Seconds of a recording that one task puts in order.
+SLICE_SEC = 600.0
+
+
+def with_pauses(sup: DataFrame, max_pause: float, slice_sec: float = SLICE_SEC) -> DataFrame:
+    """(recording_id, id, start_sec, end_sec, group_no): supervisions in groups that pauses of more than ``max_pause`` part.
+
+    Each slice of a recording is ordered by itself; one row for each recording and slice carries how far all before it
+    reaches and how many groups began there, so a long recording is spread over tasks. Repeated rows count once.
+    """
+    d = sup.where("recording_id is not null and start_sec is not null and duration is not null")
+    d = d.select("recording_id", "id", "start_sec", (F.col("start_sec") + F.col("duration")).alias("end_sec")).distinct().withColumn("_s", F.floor(F.col("start_sec") / slice_sec))
+    w = Window.partitionBy("recording_id", "_s").orderBy("start_sec", "end_sec", "id")
+    before = Window.partitionBy("recording_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    far = d.groupBy("recording_id", "_s").agg(F.max("end_sec").alias("m")).select("recording_id", "_s", F.max("m").over(before).alias("_far"))
+    d = d.join(far, ["recording_id", "_s"])
+    reach = F.greatest("_far", F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("_new", F.when(reach.isNull() | (F.col("start_sec") - reach > max_pause), 1).otherwise(0))
+    begun = d.groupBy("recording_id", "_s").agg(F.sum("_new").alias("k")).select("recording_id", "_s", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_at"))
+    d = d.join(begun, ["recording_id", "_s"]).withColumn("group_no", F.col("_at") + F.sum("_new").over(w))
+    return d.select("recording_id", "id", "start_sec", "end_sec", "group_no")
+
+
 def pause_groups(sup: DataFrame, max_pause: float = 0.5) -> DataFrame:
     """(recording_id, group_no, start_sec, end_sec, n): neighbouring supervisions whose pause is at most ``max_pause``."""
-    w = Window.partitionBy("recording_id").orderBy("start_sec", "end_sec", "id")
-    d = sup.where("recording_id is not null and start_sec is not null and duration is not null")
-    d = d.select("recording_id", "id", "start_sec", (F.col("start_sec") + F.col("duration")).alias("end_sec")).distinct()
-    reach = F.max("end_sec").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("fresh", F.when(reach.isNull() | (F.col("start_sec") - reach > max_pause), 1).otherwise(0))
-    d = d.withColumn("group_no", F.sum("fresh").over(w))
-    return d.groupBy("recording_id", "group_no").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n"))
+    g = with_pauses(sup, max_pause).groupBy("recording_id", "group_no")
+    return g.agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("n"))
+
+
+#: Seconds of a bin of ``overlapping``.
+BIN_SEC = 30.0
+
+
+def overlapping(a: DataFrame, b: DataFrame, key: str, bin_sec: float = BIN_SEC) -> DataFrame:
+    """Pairs of intervals of the same key that overlap: columns of both sides, whose intervals are (a0, a1) and (b0, b1).
+
+    Both sides are spread over bins of time, and a pair counts in the bin where the later one starts, so only neighbours in
+    time meet, however many intervals a key has.
+    """
+    bins = lambda x, lo, hi: x.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(lo) / bin_sec), F.floor(F.col(hi) / bin_sec))))
+    j = bins(a.where("a1 > a0"), "a0", "a1").join(bins(b.where("b1 > b0"), "b0", "b1"), [key, "_bin"])
+    return j.where((F.col("b0") < F.col("a1")) & (F.col("b1") > F.col("a0")) & (F.floor(F.greatest("a0", "b0") / bin_sec) == F.col("_bin"))).drop("_bin")
 
 
 def crossing(sup: DataFrame, edge_every: float) -> DataFrame:
@@ -151,8 +184,10 @@ def merge_neighbours(sup: DataFrame, max_gap: float = 1.0, longest: float = 10.0
         return p
 
     d = sup.where("recording_id is not null and start_sec is not null and duration is not null")
-    d = d.select("recording_id", "id", "start_sec", (F.col("start_sec") + F.col("duration")).alias("end_sec")).dropDuplicates(["recording_id", "id"])
-    return d.groupBy("recording_id").applyInPandas(_fold("merge_neighbours", step), "recording_id string, first_id string, start_sec double, end_sec double, n bigint")
+    d = d.groupBy("recording_id", "id").agg(F.min(F.struct("start_sec", "duration")).alias("x")).select("recording_id", "id", "x.*")
+    # Nothing merges across a longer pause, so stretches between pauses are folded by themselves, many in a task.
+    d = with_pauses(d, max_gap).withColumn("_part", F.floor(F.col("group_no") / 500))
+    return d.groupBy("recording_id", "_part").applyInPandas(_fold("merge_neighbours", step), "recording_id string, first_id string, start_sec double, end_sec double, n bigint")
 
 
 def boundary_windows(sup: DataFrame, length: float = 30.0) -> DataFrame:
@@ -160,29 +195,29 @@ def boundary_windows(sup: DataFrame, length: float = 30.0) -> DataFrame:
     half of it lies inside; the next window starts at the earliest one left out, else at the edge."""
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = list(zip(pdf["id"], pdf["start_sec"], pdf["end_sec"], strict=True))
-        at, no, out = 0.0, 0, []
-        while rest:
-            edge, keep, late = at + length, [], []
-            for r in rest:
-                i, s, e = r
-                inside = e <= edge or (s < edge and (edge - s) > 0.5 * (e - s))
-                (keep if inside else late).append(r)
-            if not keep:
-                first = min(r[1] for r in late)
-                if first < edge:  # one supervision longer than the window
-                    keep = [r for r in late if r[1] == first]
-                    late = [r for r in late if r[1] != first]
+        rows = list(zip(pdf["id"], pdf["start_sec"], pdf["end_sec"], strict=True))
+        at, no, out, k, held = 0.0, 0, [], 0, []
+        while held or k < len(rows):
+            edge = at + length
+            while k < len(rows) and rows[k][1] < edge:  # what starts later is not inside
+                held.append(rows[k])
+                k += 1
+            inside = [r[2] <= edge or edge - r[1] > 0.5 * (r[2] - r[1]) for r in held]
+            keep = [r for r, x in zip(held, inside, strict=True) if x]
+            held = [r for r, x in zip(held, inside, strict=True) if not x]
+            if held and not keep:  # one supervision longer than the window
+                first = min(r[1] for r in held)
+                keep = [r for r in held if r[1] == first]
+                held = [r for r in held if r[1] != first]
             out += [(r[0], no) for r in keep]
             no += bool(keep)
-            rest = late
-            if rest:
-                first = min(r[1] for r in rest)
+            if held or k < len(rows):
+                first = min([r[1] for r in held] + [r[1] for r in rows[k : k + 1]])
                 at = first if first < edge else max(edge, first - first % length)
         return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[0], "id": [i for i, _ in out], "window_no": [n for _, n in out]})
 
     d = sup.where("recording_id is not null and start_sec is not null and duration > 0")
-    d = d.select("recording_id", "id", "start_sec", (F.col("start_sec") + F.col("duration")).alias("end_sec")).dropDuplicates(["recording_id", "id"])
+    d = d.groupBy("recording_id", "id").agg(F.min(F.struct("start_sec", "duration")).alias("x")).select("recording_id", "id", "x.start_sec", (F.col("x.start_sec") + F.col("x.duration")).alias("end_sec"))
     return d.groupBy("recording_id").applyInPandas(_fold("boundary_windows", step), "recording_id string, id string, window_no bigint")
 
 
@@ -198,11 +233,11 @@ def merge_chunks(chunks: DataFrame, extra_ms: int) -> DataFrame:
     return kept.groupBy("recording_id").agg(F.count("*").alias("n_items"), F.min("item_ms").alias("first_ms"), F.max("item_ms").alias("last_ms"))
 
 
-def batches_by_length(df: DataFrame, bucket: Column, longest_total: float) -> DataFrame:
+def batches_by_length(df: DataFrame, bucket: Column, longest_total: float, per_task: int = 50_000) -> DataFrame:
     """(bucket, id, batch): rows of a similar length in batches of at most ``longest_total`` seconds, padding included.
 
-    In a bucket, of which each covers a narrow range of lengths, rows are spread by the hash of the id over groups, so
-    that no group needs more than one task; each group is filled in order of length.
+    In a bucket, of which each covers a narrow range of lengths, rows are spread by the hash of the id over groups of
+    about ``per_task``, one for a small bucket; each group is filled in order of length.
     """
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -216,5 +251,6 @@ def batches_by_length(df: DataFrame, bucket: Column, longest_total: float) -> Da
         return pd.DataFrame({"bucket": pdf["bucket"], "id": pdf["id"].astype(object), "grp": pdf["grp"], "batch": out})
 
     d = df.where("duration > 0").groupBy("id").agg(F.max("duration").alias("duration")).withColumn("bucket", bucket.cast("bigint"))
-    d = d.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(16)).cast("bigint"))
+    groups = d.groupBy("bucket").agg(F.ceil(F.count("*") / per_task).alias("_g"))  # a row for each bucket
+    d = d.join(groups, "bucket").withColumn("grp", F.pmod(F.xxhash64("id"), F.col("_g")).cast("bigint")).drop("_g")
     return d.groupBy("bucket", "grp").applyInPandas(step, "bucket bigint, id string, grp bigint, batch bigint")

@@ -253,5 +253,14 @@ def tumbling_window(spark, d):
 
 @query("select doc_id, source, n_chars, lag(n_chars) over w as before, ntile(4) over w as quarter, sum(n_chars) over (partition by source order by doc_id rows between 2 preceding and current row) as last3 from documents window w as (partition by source order by doc_id)")
 def frames_and_lags(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", "source", "n_chars", F.lag("n_chars").over(w).alias("before"), F.ntile(4).over(w).alias("quarter"), F.sum("n_chars").over(w.rowsBetween(-2, 0)).alias("last3"))
+    """Neighbours by number instead of a window for each source, which may hold a third of all rows."""
+    x = O.number_rows(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id")
+    per = x.groupBy("source").agg(F.min("rn").alias("first"), F.count("*").alias("many"))  # a row for each source
+    before = lambda k: x.select((F.col("rn") + k).alias("rn"), F.col("source").alias(f"s{k}"), F.col("n_chars").alias(f"n{k}"))
+    y = x.join(before(1), "rn", "left").join(before(2), "rn", "left")
+    y = y.join(per.withColumnRenamed("source", "ps"), F.col("source").eqNullSafe(F.col("ps")))
+    own = lambda k: F.when(F.col("source").eqNullSafe(F.col(f"s{k}")), F.col(f"n{k}"))
+    at, big = F.col("rn") - F.col("first"), F.floor(F.col("many") / 4) + 1
+    extra = F.col("many") % 4
+    quarter = F.when(at < extra * big, F.floor(at / big)).otherwise(extra + F.floor((at - extra * big) / F.greatest(big - 1, F.lit(1)))) + 1
+    return y.select("doc_id", "source", "n_chars", own(1).alias("before"), quarter.cast("bigint").alias("quarter"), (F.col("n_chars") + F.coalesce(own(1), F.lit(0)) + F.coalesce(own(2), F.lit(0))).alias("last3"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vocalith.functions import sequences
+from vocalith.operators.lexicon import numbered_frames
 from vocalith.plans.registry import Registry
 from vocalith.session import ensure_checkpoint_dir, materialize, table
 from vocalith.sources import manifests as S
@@ -212,8 +213,7 @@ g as (select *, sum(case when before = token then 0 else 1 end) over (partition
 select utt_id, token, cast(min(f) as integer) as start, cast(max(f) + 1 as integer) as stop from g where token <> 0 group by utt_id, run, token""")
 def stream_token_runs(spark, d):
     t = table(spark, d, "token_spans").where("utt_id is not null and start_frame is not null and token is not null").select("utt_id", "start_frame", "token").distinct()
-    w = Window.partitionBy("utt_id").orderBy("start_frame", "token")
-    t = t.select("utt_id", (F.row_number().over(w) - 1).cast("int").alias("frame"), "token", F.lead("token").over(w).isNull().alias("is_last"))
+    t = numbered_frames(t).select("utt_id", F.col("f").cast("int").alias("frame"), "token", F.col("last").alias("is_last"))
     p = _place(spark)
     t.write.parquet(p)
     frames = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 8).parquet(p)

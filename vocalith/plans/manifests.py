@@ -216,10 +216,9 @@ with s as (select distinct id, recording_id, start_sec a, start_sec + duration b
 g as (select distinct utt_id, recording_id, start_time c, end_time e from segments where end_time > start_time)
 select id, count(*) as n from s join g using (recording_id) where c < b and e > a group by id""")
 def range_join_overlaps(spark, d):
-    s = _sup(spark, d).where("start_sec is not null and duration > 0").select("id", "recording_id", F.col("start_sec").alias("a"), (F.col("start_sec") + F.col("duration")).alias("b")).distinct()
-    g = table(spark, d, "segments").where("end_time > start_time").select("utt_id", "recording_id", F.col("start_time").alias("c"), F.col("end_time").alias("e")).distinct()
-    j = s.join(g, (s["recording_id"] == g["recording_id"]) & (F.col("c") < F.col("b")) & (F.col("e") > F.col("a")))
-    return j.groupBy("id").agg(F.count("*").alias("n"))
+    s = _sup(spark, d).where("start_sec is not null and duration > 0").select("id", "recording_id", F.col("start_sec").alias("a0"), (F.col("start_sec") + F.col("duration")).alias("a1")).distinct()
+    g = table(spark, d, "segments").where("end_time > start_time").select("utt_id", "recording_id", F.col("start_time").alias("b0"), F.col("end_time").alias("b1")).distinct()
+    return M.overlapping(s, g, "recording_id").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -339,12 +338,22 @@ def trim_to_groups(spark, d):
     return M.pause_groups(_sup(spark, d), 0.5)
 
 
-@query()
+@query("""with recursive d as (select recording_id, id, duration, row_number() over (partition by recording_id order by id) as rn from (
+  select recording_id, id, max(duration) as duration from supervisions where recording_id is not null and duration is not null group by 1, 2)),
+r as (select recording_id, id, rn, duration as now, 0 as shard from d where rn = 1
+  union all select d.recording_id, d.id, d.rn, case when now <> 0 and now + d.duration > 60.0 then d.duration else now + d.duration end, case when now <> 0 and now + d.duration > 60.0 then shard + 1 else shard end
+  from r join d on d.recording_id = r.recording_id and d.rn = r.rn + 1)
+select recording_id, id, cast(shard as bigint) as shard from r""")
 def shard_by_duration(spark, d):
     return M.shard_by_duration(_sup(spark, d), "recording_id", 60.0)
 
 
-@query()
+@query("""with recursive x as (select recording_id, id, min({'start_sec': start_sec, 'duration': duration}) as x from supervisions where recording_id is not null and start_sec is not null and duration is not null group by 1, 2),
+d as (select recording_id, id, x.start_sec as s, x.start_sec + x.duration as e, row_number() over (partition by recording_id order by x.start_sec, id) as rn from x),
+r as (select recording_id, rn, id as first_id, s, e, 0 as g from d where rn = 1
+  union all select d.recording_id, d.rn, case when ok then first_id else d.id end, case when ok then r.s else d.s end, case when ok then greatest(r.e, d.e) else d.e end, case when ok then g else g + 1 end
+  from (select r.*, d2.s - r.e <= 1.0 and greatest(d2.e, r.e) - r.s <= 10.0 as ok from r join d d2 on d2.recording_id = r.recording_id and d2.rn = r.rn + 1) r join d on d.recording_id = r.recording_id and d.rn = r.rn + 1)
+select recording_id, min(first_id) as first_id, min(s) as start_sec, max(e) as end_sec, count(*) as n from r group by recording_id, g""")
 def merge_neighbours(spark, d):
     return M.merge_neighbours(_sup(spark, d))
 
@@ -354,7 +363,11 @@ def boundary_windows(spark, d):
     return M.boundary_windows(_sup(spark, d))
 
 
-@query()
+@query("""with recursive d as (select id, duration, cast(floor(log2(greatest(duration, 0.1)) * 2) as bigint) as bucket from (select id, max(duration) as duration from supervisions where duration > 0 and id is not null group by id)),
+o as (select *, row_number() over (partition by bucket order by duration, id) as rn from d),
+r as (select bucket, id, rn, 1 as size, 0 as batch from o where rn = 1
+  union all select o.bucket, o.id, o.rn, case when (size + 1) * o.duration > 200.0 then 1 else size + 1 end, case when (size + 1) * o.duration > 200.0 then batch + 1 else batch end from r join o on o.bucket = r.bucket and o.rn = r.rn + 1)
+select bucket, id, 0::bigint as grp, cast(batch as bigint) as batch from r""")
 def batch_by_length(spark, d):
     return M.batches_by_length(_sup(spark, d), F.floor(F.log2(F.greatest("duration", F.lit(0.1))) * 2), 200.0)
 
