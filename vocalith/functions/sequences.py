@@ -114,3 +114,10 @@ def word_starts(t: DataFrame, slice_frames: int = SLICE) -> DataFrame:
     begins = F.col("symbol").startswith("▁") | (F.col("_first") & (F.col("_i") == 1))
     lone = (F.col("symbol") == "▁") & (F.col("_next").isNull() | F.col("_next").startswith("▁"))
     return t.where(begins & ~lone).drop("_s", "_i", "_next", "_first", "_behind")
+
+
+def chunks(lengths: DataFrame, key: str, size: int, pad: int) -> DataFrame:
+    """(key, chunk, start, frames, done): the chunks of streams of ``n`` frames, ``size`` frames apart, each with ``pad`` frames
+    more if there are so many; ``done`` with the last one. A stream without frames has none."""
+    x = lengths.where("n > 0").select(key, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / size))).alias("chunk"))
+    return x.select(key, "chunk", (F.col("chunk") * size).alias("start"), F.least(F.col("n") - F.col("chunk") * size, F.lit(size + pad)).alias("frames"), ((F.col("chunk") + 1) * size >= F.col("n")).alias("done"))

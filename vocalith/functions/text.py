@@ -270,10 +270,22 @@ def zh_spoken(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else _zh_line(t))
 
 
+# Words and phrases in which 儿 is a syllable of its own.
+ER_WORDS = (
+    "儿女|儿子|儿孙|女儿|儿媳|妻儿|胎儿|婴儿|新生儿|婴幼儿|幼儿|少儿|小儿|儿歌|儿童|儿科|托儿所|孤儿|"
+    "儿戏|儿化|台儿庄|鹿儿岛|正儿八经|吊儿郎当|生儿育女|托儿带女|养儿防老|痴儿呆女|"
+    "佳儿佳妇|儿怜兽扰|儿无常父|儿不嫌母丑|儿行千里母担忧|儿大不由爷|苏乞儿"
+)
+
+
 def remove_erhua(c: Column) -> Column:
-    """The suffix 儿 dropped, except in words where it is a syllable."""
-    kept = F.regexp_replace(c, "(女|婴|幼|孤|健|宠|少|胎|混血)儿|儿(童|子|女|歌|科|媳|时)", "$1\x01$2")
-    return F.regexp_replace(F.regexp_replace(kept, "儿", ""), "\x01", "儿")
+    """The suffix 儿 dropped, except in words where it is a syllable; the word that begins first counts."""
+    return F.regexp_replace(c, f"({ER_WORDS})|儿", "$1")
+
+
+def join_han(c: Column) -> Column:
+    """Without white space, but for one blank between ASCII letters, digits and signs on both sides."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), r"(?<![!-~]) | (?![!-~])", ""), "  +", " ")
 
 
 def _byte_alphabet() -> dict[int, str]:

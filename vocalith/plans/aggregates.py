@@ -132,6 +132,34 @@ def tensor_rms_percentiles(spark, d):
     return p.select("label", F.inline(F.array(*[F.struct(F.lit(q).alias("percent"), F.round(f"p{q}", 6).alias("rms")) for q in ps])))
 
 
+@query("""with r as (select label, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / len(embedding)) as r from embeddings),
+o as (select label, r, row_number() over (partition by label order by r) - 1 as i, count(*) over (partition by label) as n from r)
+select label, k, round(r, 6) as rms from o, range(11) t(k) where i = least(k * n // 10, n - 1)""")
+def tensor_rms_sorted(spark, d):
+    """The 11 values at tenths of the sorted root mean squares of each label, by their number instead of a window."""
+    sq = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    r = O.number_rows(table(spark, d, "embeddings").select("label", F.sqrt(sq / F.size("embedding")).alias("r")), "label", "r")
+    per = r.groupBy("label").agg(F.min("rn").alias("first"), F.count("*").alias("n"))  # a row for each label
+    at = per.select("label", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"), "first", "n")
+    at = at.select("label", F.col("k").cast("bigint").alias("k"), (F.col("first") + F.least(F.floor(F.col("k") * F.col("n") / 10), F.col("n") - 1)).alias("rn"))
+    return r.join(at, ["label", "rn"]).select("label", "k", F.round("r", 6).alias("rms"))
+
+
+@query("""with x as (select dim_i as i, dim_j as j, sum(a * b) as v from (select e.embedding[i + 1]::double as a, e.embedding[j + 1]::double as b, i as dim_i, j as dim_j from embeddings e, range(4) t(i), range(4) u(j)) group by 1, 2)
+select i, j, round(v, 5) as v from x""")
+def tensor_product(spark, d):
+    """The product of the transposed table of vectors with itself, of the first dimensions: its eigenvalues describe the spread."""
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    x = table(spark, d, "embeddings").select(v.alias("v")).select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b"))
+    return x.groupBy(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("v"))
+
+
+@query("select c_mktsegment as key, round(sum(c_acctbal * c_nationkey) / sum(c_nationkey), 6) as mean from customer group by 1")
+def per_key_weighted_average(spark, d):
+    """The weighted variant of averages by key."""
+    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.round(F.sum(F.col("c_acctbal") * F.col("c_nationkey")) / F.sum("c_nationkey"), 6).alias("mean"))
+
+
 @query("select key, avg(v) as mean, cast(floor(avg(v)) as bigint) as floored from (select c_mktsegment as key, c_acctbal as v from customer) group by key")
 def per_key_average(spark, d):
     return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.avg("c_acctbal").alias("mean"), F.floor(F.avg("c_acctbal")).alias("floored"))

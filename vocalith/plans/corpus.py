@@ -423,6 +423,23 @@ def sentence_batches(spark, d):
     return K.sentence_batches(_once(spark, d).where("text is not null").select("id", F.size(_words()).alias("length")), 50, 20)
 
 
+@query(f"""with n as (select utt_id, count(*) as n from {_SPANS} group by utt_id)
+select utt_id, k as chunk, k * 16 as start, least(n - k * 16, 23) as frames, (k + 1) * 16 >= n as done from (select utt_id, n, unnest(generate_series(0, (n - 1) // 16)) as k from n)""")
+def stream_chunks(spark, d):
+    """The chunks that a stream of each utterance pulls: 16 frames and 7 behind them, going on by 16."""
+    return S.chunks(_spans(spark, d).groupBy("utt_id").agg(F.count("*").alias("n")), "utt_id", 16, 7)
+
+
+@query(f"""with n as (select utt_id, count(*) as n, (row_number() over (order by utt_id) - 1) // 8 as batch from {_SPANS} group by utt_id),
+k as (select batch, utt_id, n, unnest(generate_series(0, (n - 1) // 16)) as step from n)
+select cast(batch as bigint) as batch, step, count(*) as streams, cast(sum(least(n - step * 16, 23)) as bigint) as frames from k group by batch, step""")
+def stream_schedule(spark, d):
+    """Steps of batches of 8 streams: each step pulls one chunk of every stream of the batch that is not done."""
+    u = number_rows(_spans(spark, d).groupBy("utt_id").agg(F.count("*").alias("n")), "utt_id").withColumn("batch", F.floor((F.col("rn") - 1) / 8))
+    c = S.chunks(u.select("utt_id", "n"), "utt_id", 16, 7).join(u.select("utt_id", "batch"), "utt_id")
+    return c.groupBy("batch", F.col("chunk").alias("step")).agg(F.count("*").alias("streams"), F.sum("frames").alias("frames"))
+
+
 # Normalizers
 
 

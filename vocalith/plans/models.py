@@ -173,6 +173,15 @@ def average_precision(spark, d):
     return E.average_precision(e).select("cls", F.round("ap", 9).alias("ap"))
 
 
+@query("""with s as (select label as cls, round(embedding[1]::double, 2) as score, embedding[2] > 0 as hit from embeddings),
+t as (select cls, score, sum(hit::int) as h, count(*) as n from s group by 1, 2),
+w as (select *, sum(h) over o as ch, sum(n) over o as cn, sum(h) over (partition by cls) as total from t window o as (partition by cls order by score desc rows unbounded preceding)),
+c as (select cls, sum(h / total * ch / cn) as ap from w where total > 0 group by cls) select count(*) as classes, round(avg(ap), 9) as mean_ap from c""")
+def mean_average_precision(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("label").alias("cls"), F.round(F.get("embedding", 0).cast("double"), 2).alias("score"), (F.get("embedding", 1) > 0).alias("hit"))
+    return E.average_precision(e).agg(F.count("*").alias("classes"), F.round(F.avg("ap"), 9).alias("mean_ap"))
+
+
 _NB = """with b as (select vec_id // 5 as utt, vec_id, round(embedding[1]::double, 4) as am, round(embedding[2]::double, 4) as lm, label from embeddings)"""
 
 
@@ -197,6 +206,15 @@ def beam_top_k(spark, d):
     return top_per_group(_nbest(spark, d), 2, ["utt"], F.desc("am"), F.col("vec_id")).select("utt", "vec_id", "am")
 
 
+@query(_NB + "select utt, vec_id, round(am / (label + 1), 9) as norm from (select *, row_number() over (partition by utt order by am / (label + 1) desc, vec_id) as rn from b) where rn <= 2")
+def beam_top_k_norm(spark, d):
+    """As ``beam_top_k`` by the score for each token of a hypothesis."""
+    from vocalith.operators.ordering import top_per_group
+
+    norm = F.col("am") / (F.col("label") + 1)
+    return top_per_group(_nbest(spark, d), 2, ["utt"], F.desc(norm), F.col("vec_id")).select("utt", "vec_id", F.round(norm, 9).alias("norm"))
+
+
 @query(_NB + "select utt, vec_id from b where am > 0.1")
 def beam_threshold(spark, d):
     return _nbest(spark, d).where("am > 0.1").select("utt", "vec_id")

@@ -33,6 +33,19 @@ def _norm(name, column, sql, docs=False):
     query(sql and (f"select doc_id, {sql} as text from documents" if docs else f"select id, {sql} as text from {_ONCE}"))(run)
 
 
+# Letters whose capitals the two engines write differently are spelled out first, on both sides.
+_SPELLED = (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ŉ", "n"))
+_CASED = "text"
+for _a, _b in _SPELLED:
+    _CASED = f"replace({_CASED}, '{_a}', '{_b}')"
+
+
+def _cased(c):
+    for a, b in _SPELLED:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def _rr(x, *rules):
     for a, b in rules:
         x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
@@ -61,9 +74,10 @@ _norm("text_char_pairs", lambda c, g: T.char_pairs(c), "trim(regexp_replace(text
 _WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
 _norm("text_wide_to_ascii", lambda c, g: T.wide_to_ascii(c), "translate(text, '" + _WIDE + "', '" + "".join(chr(x) for x in range(0x21, 0x7F)).replace("'", "''") + " ')")
 _CJK = "([\\x{1100}-\\x{11ff}\\x{2e80}-\\x{a4cf}\\x{a840}-\\x{d7af}\\x{f900}-\\x{faff}\\x{fe30}-\\x{fe4f}\\x{ff65}-\\x{ffdc}\\x{20000}-\\x{2ffff}])"
-_norm("text_cjk_spaced", lambda c, g: T.cjk_spaced(F.replace(c, F.lit("ß"), F.lit("ss"))), f"trim(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'ss')), '{_CJK}', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')", docs=True)
+_norm("text_cjk_spaced", lambda c, g: T.cjk_spaced(_cased(c)), f"trim(regexp_replace(regexp_replace(upper({_CASED}), '{_CJK}', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')", docs=True)
 _norm("text_white_and_marks", lambda c, g: T.white_and_marks(c), "translate(regexp_replace(text, '\\s+', ' ', 'g'), '，。！？；：、‘’“”⁇', ',.!?;:,''''\"\"?')", docs=True)
-_norm("text_erhua", lambda c, g: T.remove_erhua(c), None, docs=True)
+_norm("text_erhua", lambda c, g: T.remove_erhua(c), _rr("text", (f"({T.ER_WORDS})|儿", "\\1")), docs=True)
+_norm("text_join_han", lambda c, g: T.join_han(c), None, docs=True)
 _norm("text_arabic_clean", lambda c, g: T.arabic_clean(c), None)
 
 
@@ -81,7 +95,8 @@ _ALPHABET = "".join(T.BYTE_TO_CHAR[b] for b in range(256)).replace("'", "''")
 _norm("text_byte_encode", lambda c, g: T.byte_encode(c), f"array_to_string(list_transform(generate_series(0, octet_length(encode({_WS})) - 1), lambda i: '{_ALPHABET}'[cast(('0x' || substr(hex(encode({_WS})), 2 * i + 1, 2)) as integer) + 1]), '')")
 _norm("text_byte_best", lambda c, g: T.byte_decode_best(F.substring(T.byte_encode(c), 2, 1 << 30)), None)
 _norm("text_separate_punctuation", lambda c, g: T.separate_punctuation(c), None)
-_norm("text_ja_spaced", lambda c, g: T.ja_spaced(c), None, docs=True)
+_JA = "([\\x{3041}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}])"
+_norm("text_ja_spaced", lambda c, g: T.ja_spaced(_cased(c)), f"trim(regexp_replace(regexp_replace(upper({_CASED}), '{_JA}', ' \\1 ', 'g'), ' +', ' ', 'g'), ' ')", docs=True)
 _norm("text_unicode_basic", lambda c, g: T.unicode_basic(c), None)
 _norm("text_english_basic", lambda c, g: T.english_basic(c), None)
 _norm("text_sentence_case", lambda c, g: T.sentence_case(c), None)
