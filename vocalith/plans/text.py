@@ -67,7 +67,7 @@ _norm("text_german_native", lambda c, g: T.german_native(c), _rr("replace(replac
 _norm("text_alphabetic", lambda c, g: T.alphabetic(c), f"upper({_rr('text', ('[^A-Za-z ]', ''))})")
 _norm("text_alphanumeric", lambda c, g: T.alphabetic(c, strict=False), "upper(regexp_replace(text, '[^A-Za-z0-9'' ]', '', 'g'))")
 _norm("text_upper_words", lambda c, g: T.to_upper_words(c), "upper(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9'']', ' ', 'g'), ' +', ' ', 'g'), ' '))")
-_norm("text_strip_tags", lambda c, g: F.lower(T.strip_tags(c)), "replace(lower(trim(regexp_replace(regexp_replace(text, '<.*?>|\\[[^\\]]*\\]|\\{[^}]*\\}|\\(\\(|\\)\\)', ' ', 'g'), '\\s+', ' ', 'g'), ' ')), 'ß', 'ss')")
+_norm("text_strip_tags", lambda c, g: F.lower(T.strip_tags(c)), "lower(trim(regexp_replace(regexp_replace(text, '<.*?>|\\[[^\\]]*\\]|\\{[^}]*\\}|\\(\\(|\\)\\)', ' ', 'g'), '\\s+', ' ', 'g'), ' '))")
 _norm("text_eastern_digits", lambda c, g: T.eastern_digits(c), "translate(text, '٠١٢٣٤٥٦٧٨٩٪_|ڤ', '0123456789%  ف')")
 _norm("text_arabic_repeats", lambda c, g: T.arabic_repeats(c), _rr("text", ("(ه){2,}", "ههه"), ("(أ|ا|آ){2,}", "ا")))
 _norm("text_char_pairs", lambda c, g: T.char_pairs(c), "trim(regexp_replace(text, '(.{2})', '\\1 ', 'g'), ' ')")
