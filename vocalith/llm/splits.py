@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small-star: smaller neighbours of a node and the node itself are linked to the smallest.
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(
