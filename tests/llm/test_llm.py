@@ -319,3 +319,48 @@ def test_classes_and_links(spark):
     df = sup(spark, [("a", "the cat", "x"), ("b", "the c\u0430t", "x"), ("c", "the cat", "x"), ("d", "The cat", "x"), ("e", None, "x"), ("f", " ", "x")])
     assert {tuple(r) for r in look_classes(df).collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "a", 2), ("d", "d", 1)}
     assert overlap_links(df.limit(0)).count() == look_classes(df.limit(0)).count() == 0
+
+
+def test_overlap_of_long_texts_in_one_manner(spark, monkeypatch):
+    """Long texts that have a phrase in common are no candidates for that alone."""
+    from vocalith.llm import overlap
+
+    r = random.Random(4)
+    noun, verb = lambda: f"noun{r.randrange(150)}", lambda: f"verb{r.randrange(40)}"
+    pick = lambda: f"the {noun()} {verb()} a {noun()} " + "we do not think that " * (r.random() < 0.4)
+    texts = [" ".join("".join(pick() for _ in range(25)).split()) for _ in range(160)]
+    rows = [(f"x{k}", t, "train" if k < 110 else "dev") for k, t in enumerate(texts)]
+    rows += [(f"y{k}", " ".join(w if i % 9 else "changed" for i, w in enumerate(texts[k].split())), "dev") for k in range(4)]
+    made, real = [], overlap.candidates
+    monkeypatch.setattr(overlap, "candidates", lambda c: made.append(real(c)) or made[-1])
+    got = {tuple(x) for x in cross_split_pairs(sup(spark, rows)).collect()}
+    assert got == {(f"x{k}", f"y{k}") for k in range(4)}
+    assert made[0].count() < 400  # of 5940
+
+
+def test_overlap_of_common_blocks_and_long_texts(spark, monkeypatch):
+    """Every block told apart by fingerprints, with few and with many edits, against all pairs."""
+    from vocalith.llm import overlap
+
+    for n in range(overlap.MIN_WORDS, 500):
+        for m in range(n, int(longest_partner(n)) + 1):
+            assert m - overlap.RUN + 1 - overlap.RUN * allowed(m) >= overlap.runs_needed(n)
+    monkeypatch.setattr(overlap, "HOT", 1)
+    r = random.Random(11)
+    base = [[r.choice("abcdefghijkl") * 2 for _ in range(n)] for n in (8, 13, 14, 20, 27, 40, 53, 54, 60, 90, 130)]
+    rows = []
+    for k in range(130):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, len(w) // 5)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = [r.choice("abcz") * 2] * r.randint(0, 2)
+        rows.append((f"i{k}", " ".join(w), r.choice(["train", "dev"])))
+    want = set()
+    for i, t, s in rows:
+        for j, u, v in rows:
+            if s == "train" and v == "dev" and min(len(t), len(u)) >= 23:
+                a, b = t.split(), u.split()
+                most = allowed(max(len(a), len(b)))
+                if min(len(a), len(b)) >= 8 and word_distance(a, b, most) <= most:
+                    want.add((min(i, j), max(i, j)))
+    assert len(want) > 100 and {tuple(x) for x in cross_split_pairs(sup(spark, rows)).collect()} == want
