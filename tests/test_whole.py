@@ -135,3 +135,10 @@ def test_chunk_ranges_as_mask(spark, left):
     for size, chunk in ((1, 2), (4, 2), (7, 3), (6, 4)):
         x = spark.range(1).select(S.chunk_ranges(F.lit(size), chunk, left).alias("r"), S.chunk_mask(size, chunk, left).alias("m")).first()
         assert [[r.seen_from <= j < r.seen_to for j in range(size)] for r in x.r for _ in range(r.first, r.stop)] == x.m
+
+
+def test_seconds_of_late_frames(spark, tmp_path):
+    t = [("a", 1, 25, 26), ("a", 1, 53_687_092, 53_687_093), ("a", 1, 2**31 - 2, 2**31 - 1), ("b", 1, None, 4)]
+    spark.createDataFrame(t, "utt_id string, token int, start_frame int, end_frame int").write.parquet(f"{tmp_path}/token_spans.parquet")
+    got = __spark_entry__.queries()["seq_frames_to_seconds"](spark, str(tmp_path))
+    assert {tuple(x) for x in got.collect()} == {("a", 25, 1.0), ("a", 53_687_092, 2147483.68), ("a", 2**31 - 2, 85899345.84)} and dict(got.dtypes)["seconds"] == "double"

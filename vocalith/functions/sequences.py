@@ -56,7 +56,8 @@ def chunk_ranges(size: Column, chunk: int, left_chunks: int = -1) -> Column:
 
 
 def frame_seconds(frame: Column, subsampling: int, shift_ms: int = 10) -> Column:
-    return F.round(frame * subsampling * shift_ms / 1000.0, 3)
+    """The time of a frame; milliseconds of late frames are beyond 32 bits."""
+    return F.round(frame * F.lit(subsampling * shift_ms).cast("bigint") / 1000.0, 3)
 
 
 def collapse_labels(a: Column, blank: int = 0) -> Column:
