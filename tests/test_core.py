@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -12,6 +13,7 @@ from vocalith.operators.intervals import merge_intervals
 from vocalith.operators.manifests import boundary_windows, merge_neighbours, shard_by_duration
 from vocalith.operators.ordering import number_rows, split_into
 from vocalith.sources import manifests as M
+from vocalith.streaming import decode
 
 
 def one(spark, expr, text):
@@ -269,3 +271,44 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).write_text(body)
     rec, sup = M.read_kaldi_dir(spark, p)
     assert rec.first()["source"] == "a.wav" and sup.first()["duration"] == 1.5 and sup.first()["text"] == "hello you"
+
+
+def _runs(labels, k=0):
+    cut = [i for i in range(len(labels)) if i == 0 or labels[i] != labels[i - 1]] + [len(labels)]
+    return {(k + a, k + b, labels[a], b == len(labels)) for a, b in itertools.pairwise(cut)}
+
+
+def test_join_frames_in_any_order():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        labels = [r.integers(0, 3, n).tolist() for n in r.integers(1, 40, 3)]
+        frames = [(k * decode.PLACES + i, t, i == len(x) - 1) for k, x in enumerate(labels) for i, t in enumerate(x)]
+        frames = [frames[i] for i in r.permutation(len(frames))]
+        spans, runs, out = (decode.NONE, decode.NONE, decode.NONE.astype(bool)), (decode.NONE,) * 3, []
+        while frames:
+            new, frames = frames[:7], frames[7:]  # two of them twice
+            spans, runs, closed = decode.join_frames(spans, runs, tuple(np.array(x) for x in zip(*new, *new[:2], strict=True)))
+            assert len(runs[0]) <= 2 * len(spans[0])  # however many frames came early
+            out += zip(*(x.tolist() for x in closed), strict=True)
+        assert not len(spans[0]) and sorted(out) == sorted(set().union(*(_runs(x, k * decode.PLACES) for k, x in enumerate(labels))))
+
+
+def test_stream_runs_in_disorder(spark, tmp_path):
+    """A run comes as soon as it is closed on both sides, whatever is missing before it; a frame that comes twice counts once."""
+    r = np.random.default_rng(6)
+    labels = {"long": r.integers(0, 4, 200).tolist(), "b": [1, 1, 0, 2], "c": [3]}
+    rows = [(u, i, t, i == len(x) - 1) for u, x in labels.items() for i, t in enumerate(x)]
+    schema = "utt_id string, frame int, token int, is_last boolean"
+    chunks = [rows[150:], rows[60:110], rows[100:150], rows[:60]]
+
+    def streamed():
+        q = decode.stream_runs(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), groups=2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        q.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(x) for x in spark.read.schema(decode.OUT).parquet(f"{tmp_path}/out").collect())
+
+    want = sorted((u, *x) for u, y in labels.items() for x in _runs(y) if x[2])
+    for chunk, (a, b) in zip(chunks, ((150, 200), (60, 110), (60, 200), (-1, 200)), strict=True):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = streamed()
+        assert {x for x in want if x[0] == "long" and a < x[1] and (x[2] < b or x[4])} <= {*got} <= {*want}
+    assert got == want
