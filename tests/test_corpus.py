@@ -184,3 +184,11 @@ def test_keyword_hits(spark):
     df = spark.createDataFrame([("u", i, hot(k)) for i, k in enumerate([0, 1, 1, 2, 0, 0, 0, 3])] + [("v", 0, None)], "utt string, i int, s array<double>")
     got = search.keyword_hits(df, "utt", "i", "s", [(1, 2), (3, 3)]).collect()
     assert [(r.utt, r.phrase, r.first, r.last) for r in got] == [("u", "1 2", 1, 3)] and search.keyword_hits(df.limit(0), "utt", "i", "s", [(1,)]).count() == 0
+
+
+def test_repeated_frames(spark):
+    t = [("a", 3, 1), ("a", 3, 1), ("a", 3, 2), ("a", 90_000, 2), ("b", 0, 0), ("a", 90_000, 2)]
+    df = spark.createDataFrame(t, "utt_id string, start_frame int, token int")
+    want = {tuple(x) for x in L.numbered_frames(df.distinct(), 10).collect()}
+    got = [tuple(x) for x in L.numbered_frames(df.repartition(3), 10, repeated=True).collect()]
+    assert len(got) == len(want) == 4 and {*got} == want

@@ -51,14 +51,17 @@ def disambiguate(lex: DataFrame) -> DataFrame:
 SLICE = 20_000
 
 
-def numbered_frames(frames: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+def numbered_frames(frames: DataFrame, slice_frames: int = SLICE, repeated: bool = False) -> DataFrame:
     """``frames`` (utt_id, start_frame, token) with their place ``f`` from 0, whether they ``begin`` a run of equal labels, the
     number ``run`` of it, and whether they are the ``last``.
 
     Frames are ordered slice by slice; one row for each utterance and slice tells how many frames and runs came before, and
-    which label stood last. A long utterance is spread over tasks.
+    which label stood last. A long utterance is spread over tasks. ``repeated``: rows may be there several times and count once;
+    one shuffle serves for that and for the order.
     """
     x = frames.withColumn("_s", F.floor(F.col("start_frame") / slice_frames))
+    if repeated:
+        x = x.repartition("utt_id", "_s").distinct()
     w = Window.partitionBy("utt_id", "_s").orderBy("start_frame", "token")
     x = x.withColumns({"_i": F.row_number().over(w), "_b": F.lag("token").over(w)})
     x = x.withColumn("_new", (F.col("_b").isNull() | (F.col("_b") != F.col("token"))).cast("int"))

@@ -212,11 +212,10 @@ o as (select *, row_number() over w - 1 as f, lag(token) over w as before from l
 g as (select *, sum(case when before = token then 0 else 1 end) over (partition by utt_id order by f rows unbounded preceding) as run from o)
 select utt_id, token, cast(min(f) as integer) as start, cast(max(f) + 1 as integer) as stop from g where token <> 0 group by utt_id, run, token""")
 def stream_token_runs(spark, d):
-    t = table(spark, d, "token_spans").where("utt_id is not null and start_frame is not null and token is not null").select("utt_id", "start_frame", "token").distinct()
-    t = numbered_frames(t).select("utt_id", F.col("f").cast("int").alias("frame"), "token", F.col("last").alias("is_last"))
-    p = _place(spark)
-    t.write.parquet(p)
-    frames = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 8).parquet(p)
+    t = table(spark, d, "token_spans").where("utt_id is not null and start_frame is not null and token is not null").select("utt_id", "start_frame", "token")
+    t = numbered_frames(t, repeated=True).select("utt_id", F.col("f").cast("int").alias("frame"), "token", F.col("last").alias("is_last"))
+    t = materialize(t)
+    frames = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 8).parquet(t._written_to)
     return _run(decode.stream_runs(frames), spark).select("utt_id", "token", "start", "stop")
 
 
